@@ -69,12 +69,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PACKED_TYPES, strict=True)], PACKED_NAMES)
 
 
-def _pack(*parts: bytes) -> bytes:
+def _pack(*parts: bytes, level: int = 3) -> bytes:
     """Parts, each after its length, compressed."""
     import zstandard
 
     raw = b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def _unpack(body: bytes) -> list[bytes]:
@@ -101,6 +101,17 @@ def _from_planes(planes: list[bytes]) -> np.ndarray:
     return raw.view("<u4").reshape(-1)
 
 
+def _code_streams(codes: np.ndarray) -> tuple[bytes, ...]:
+    """A byte for each code, 255 for those whose remainder follows in planes of their own."""
+    return np.minimum(codes, 255).astype(np.uint8).tobytes(), *_planes(codes[codes >= 255] - 255)
+
+
+def _from_code_streams(streams: list[bytes]) -> np.ndarray:
+    codes = np.frombuffer(streams[0], np.uint8).astype(np.uint32)
+    codes[codes == 255] += _from_planes(streams[1:])
+    return codes
+
+
 def _part(word: bytes, parts: int) -> int:
     import zlib
 
@@ -131,13 +142,16 @@ def _explode(pattern: str, parts: int, block_bytes: int):  # noqa: ANN202
             place = np.empty(len(raw), np.uint32)
             place[order] = np.arange(len(raw), dtype=np.uint32)
             counts = np.bincount(codes, minlength=len(raw))
-            often = np.argsort(-counts, kind="stable")  # frequent words get small codes, which pack well
+            # frequent words get small codes, which pack well; those used once follow in the order of their places
+            once = np.flatnonzero(counts == 1)
+            often = np.flatnonzero(counts > 1)
+            often = often[np.argsort(-counts[often], kind="stable")]
             rank = np.empty(len(raw), np.uint32)
-            rank[often] = np.arange(len(raw), dtype=np.uint32)
+            rank[np.concatenate([often, once[np.argsort(place[once])]])] = np.arange(len(raw), dtype=np.uint32)
             lengths = np.fromiter((len(c) for _, c in docs), np.uint32, len(docs))
             ids = np.fromiter((0 if d is None else d for d, _ in docs), np.int64, len(docs))
             known = np.fromiter((d is not None for d, _ in docs), np.uint8, len(docs))
-            yield _batch([(block, CODES, -1, len(docs), _pack(ids.tobytes(), known.tobytes(), lengths.tobytes(), *_planes(rank[codes]), *_planes(place[often])))])
+            yield _batch([(block, CODES, -1, len(docs), _pack(ids.tobytes(), known.tobytes(), lengths.tobytes(), *_code_streams(rank[codes]), *_planes(place[often])))])
             out, begin = [], 0
             while begin < len(order):
                 p = part[order[begin]]
@@ -146,7 +160,7 @@ def _explode(pattern: str, parts: int, block_bytes: int):  # noqa: ANN202
                     end += 1
                 own = [raw[i] for i in order[begin:end]]
                 sizes = np.fromiter(map(len, own), np.uint32, len(own))
-                out.append((block, WORDS, int(p), len(own), _pack(b"".join(own), *_planes(sizes))))
+                out.append((block, WORDS, int(p), len(own), _pack(b"".join(own), *_planes(sizes), level=9)))
                 begin = end
             if out:
                 yield _batch(out)
@@ -212,7 +226,7 @@ def _assemble(finish):  # noqa: ANN001, ANN202
                 return
             docs, known, lengths, *planes = _unpack(codes)
             docs, known, lengths = np.frombuffer(docs, np.int64), np.frombuffer(known, np.uint8), np.frombuffer(lengths, np.uint32)
-            rank, place = _from_planes(planes[:4]), _from_planes(planes[4:])
+            rank, often = _from_code_streams(planes[:5]), _from_planes(planes[5:])
             values, sizes = [], []
             for part in sorted(ids):
                 parts = _unpack(ids[part])
@@ -220,8 +234,9 @@ def _assemble(finish):  # noqa: ANN001, ANN202
                 sizes.append(_from_planes(parts[4:]))
             value = np.concatenate(values) if values else np.empty(0, np.uint32)
             size = np.concatenate(sizes) if sizes else np.empty(0, np.uint32)
-            if len(size) != len(place):
-                raise RuntimeError(f"block {at} has {len(place)} words, but ids of {len(size)}")
+            place = np.concatenate([often, np.setdiff1d(np.arange(len(size), dtype=np.uint32), often, assume_unique=True)]).astype(np.int64)
+            if len(rank) and int(rank.max()) >= len(place):
+                raise RuntimeError(f"block {at} has a word {int(rank.max())}, but ids of {len(size)} words")
             offset = np.cumsum(size, dtype=np.int64) - size
             size, offset = size[place], offset[place]
             ends = np.cumsum(lengths, dtype=np.int64)
@@ -280,7 +295,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col:
     return map_arrow(met, _assemble(finish), schema)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """``doc_id, ids array<int>``, one row per document."""
     return _encoded(docs, vocabulary, Scratch(docs.sparkSession, "bpe"), id_col, text_col, block_bytes, _ids_out, "doc_id long, ids array<int>")
 
@@ -297,7 +312,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id"
     return map_arrow(encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")), run, "doc_id long, text_bytes binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes, then decodes each document's ids where they are."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _encoded(docs, vocabulary, Scratch(docs.sparkSession, "bpe"), id_col, text_col, block_bytes, _digest_out(vocabulary), schema)
