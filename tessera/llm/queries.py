@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, quality, warc
+from tessera.llm import bpe, exact_dedup, quality, suffix_dedup, warc
 from tessera.llm.common import Scratch
 
 
@@ -101,14 +101,36 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, unnest(range(greatest(length(h) // 2 - 49, 0))) AS i, h FROM d),
+g AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS gram FROM w),
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+bad AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM g JOIN f USING (gram) WHERE first < doc_id),
+isl AS (SELECT r, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS island FROM bad),
+spans AS (SELECT r, island, min(i) AS a, max(i) + 50 AS b FROM isl GROUP BY r, island),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM spans),
+kept AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+                string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
         "op6_quality_rules": op6_quality_rules,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_suffix_array_dedup": OP10_SQL}
