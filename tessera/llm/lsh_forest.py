@@ -253,10 +253,9 @@ def similar(
     known = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     known = scratch.save(known.join(degrees, "node", "left"), "known")
     classes = known.where("root is not null").groupBy("root").agg(F.min("least").alias("class_least"))
-    known = known.join(classes, "root", "left").select(
-        "node", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("class_node"),
-        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("class_id"),
-    )
+    joined = known.where("root is not null").join(classes, "root").select("node", "n_copies", "n_links", F.col("root").alias("class_node"), F.col("class_least").alias("class_id"))
+    alone = known.where("root is null").select("node", "n_copies", F.lit(0).cast("long").alias("n_links"), F.col("node").alias("class_node"), F.col("least").alias("class_id"))
+    known = joined.union(alone)
     known = scratch.save(known, "answers")
     return signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies", "node", "class_node")
 

@@ -129,3 +129,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     """Adds the metrics, ``base_failed`` and ``kept``."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measure(docs, text_col).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows that pass, with all their columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    return judge(rows, rules, "_text").where("kept").select("_row.*")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, lsh_forest, quality, suffix_dedup, warc
+from tessera.llm import bpe, exact_dedup, lsh_forest, mixing, quality, suffix_dedup, warc
 from tessera.llm.common import Scratch
 
 
@@ -27,6 +27,11 @@ def fresh_index(spark: SparkSession) -> exact_dedup.DigestIndex:
     return exact_dedup.DigestIndex(spark, "digests_" + uuid.uuid4().hex)
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rated.drop("draw")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     decided = exact_dedup.dedup(docs, fresh_index(spark))
@@ -107,14 +112,14 @@ w AS (SELECT text, regexp_extract_all(text, '\S+') AS words FROM t),
 s AS (SELECT DISTINCT text, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 4], ' ') END AS g
       FROM (SELECT text, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
 k AS (SELECT text, count(*) AS n FROM s GROUP BY text),
-p AS (SELECT a.text AS a, b.text AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.text <> b.text GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN k x ON a = x.text JOIN k y ON b = y.text WHERE 10 * both >= 8 * (x.n + y.n - both)),
+p AS (SELECT a.text AS a, b.text AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.text <> b.text GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN k x ON a = x.text JOIN k y ON b = y.text WHERE 10 * common >= 8 * (x.n + y.n - common)),
 r(a, b) AS (SELECT text, text FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS text, min(least) AS class_id FROM r JOIN t ON r.b = t.text GROUP BY a),
 d AS (SELECT a AS text, count(*) AS n_links FROM e GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies
 FROM documents JOIN t ON coalesce(documents.text, '') = t.text JOIN c ON c.text = t.text LEFT JOIN d ON d.text = t.text
-""".replace("\\S", "\S")
+"""
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +149,7 @@ FROM d LEFT JOIN kept USING (r)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_soft_mixing": op1_soft_mixing,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
         "op6_quality_rules": op6_quality_rules,
