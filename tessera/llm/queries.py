@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, lsh_forest, mixing, quality, suffix_dedup, warc
+from tessera.llm import bpe, exact_dedup, html_extract, lsh_forest, mixing, quality, suffix_dedup, tool_calls, url_filter, warc
 from tessera.llm.common import Scratch
 
 
@@ -32,6 +32,10 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("draw")
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     decided = exact_dedup.dedup(docs, fresh_index(spark))
@@ -70,6 +74,32 @@ FROM spelt
 """
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _table(spark, sf_dir, "conversations")
+    return tool_calls.link(tool_calls.calls_of(messages), tool_calls.results_of(messages))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, min(text) AS text, count(*) AS n_calls FROM m WHERE role = 'user' GROUP BY ALL),
+a AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS words, CASE WHEN turn >= 2 THEN 'call-' || (turn - 2) END AS dep FROM c),
+l(conv_id, call_id, level) AS (
+  SELECT conv_id, call_id, 0 FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.call_id = a.dep)
+  UNION ALL SELECT a.conv_id, a.call_id, l.level + 1 FROM a JOIN l ON a.conv_id = l.conv_id AND a.dep = l.call_id),
+r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, min(turn) AS result_turn, arg_min(text, (turn, text)) AS content, count(*) AS n_results FROM m WHERE role = 'assistant' GROUP BY ALL),
+e AS (SELECT a.*, level, dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.call_id = a.dep) AS unknown FROM a JOIN l USING (conv_id, call_id)),
+j AS (SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, e.turn, text, words, n_calls, level, unknown, result_turn, content, n_results
+      FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id),
+w AS (SELECT *, CASE WHEN n_calls IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN length(text) < 1 THEN 'query is below 1' WHEN length(text) > 4000 THEN 'query is above 4000' END,
+      CASE WHEN words < 1 THEN 'words is below 1' WHEN words > 64 THEN 'words is above 64' END, CASE WHEN unknown THEN 'a dependency is not known' END) END AS errors FROM j)
+SELECT conv_id, call_id, CASE WHEN n_calls IS NOT NULL THEN 'answer' END AS name, turn, result_turn, level, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+       CASE WHEN n_calls IS NULL THEN 'orphan result' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status, errors = '' AS valid, errors,
+       '{"arguments":' || coalesce('{"query":' || to_json(text) || ',"words":' || words || '}', 'null') || ',"id":' || to_json(call_id) || ',"level":' || coalesce(level::VARCHAR, 'null')
+       || ',"name":' || CASE WHEN n_calls IS NULL THEN 'null' ELSE '"answer"' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS canonical_json
+FROM w
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -102,6 +132,45 @@ FROM q
 """
 
 
+def op7_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
+
+
+def _op7_sql() -> str:
+    """The rules, the counts of each order, the interpolation from the shortest context up, and the calibration."""
+    u, m = url_filter, url_filter.ORDER
+    fits = lambda r: f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(u.RULES, key=lambda r: -len(r.text))
+    levels = ""
+    for k in range(1, m + 1):
+        levels += f"""
+o{k} AS (SELECT substr(gram, {m + 1 - k}, {k + 1}) AS s, sum(a) AS a, sum(r) AS r FROM g GROUP BY 1),
+c{k} AS (SELECT substr(s, 1, {k}) AS c, sum(a) AS na, sum(r) AS nr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM o{k} GROUP BY 1),
+l{k} AS (SELECT o.s, CASE WHEN na >= {u.MIN_CONTEXT} THEN (o.a + ta * l.pa) / (na + ta) ELSE l.pa END AS pa,
+                CASE WHEN nr >= {u.MIN_CONTEXT} THEN (o.r + tr * l.pr) / (nr + tr) ELSE l.pr END AS pr
+         FROM o{k} o JOIN c{k} c ON substr(o.s, 1, {k}) = c.c JOIN l{k - 1} l ON substr(o.s, 2, {k}) = l.s),"""
+    cases = lambda f: " ".join(f"WHEN {fits(r)} THEN '{f(r)}'" for r in longest)
+    half = u.BINS // 2
+    return f"""
+WITH x AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM x),
+p AS (SELECT page_id, translate(raw, '{u.UPPER}', '{u.LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, translate(url, '{u.UPPER}', '{u.LOWER}') AS key FROM h),
+d AS (SELECT *, CASE {cases(lambda r: r.text)} END AS rule, CASE {cases(lambda r: r.verdict)} END AS ruled FROM p),
+k AS (SELECT key, count(*) FILTER (ruled = 'allow') AS accepted, count(*) FILTER (ruled = 'block') AS rejected, ('0x' || substr(md5(key), 1, 8))::BIGINT % {u.HOLD_OUT} = 0 AS held FROM d GROUP BY key),
+z AS (SELECT key, substr(repeat(chr(2), {m}) || key || chr(3), unnest(range(1, length(key) + 2)), {m + 1}) AS gram,
+             CASE WHEN held THEN 0 ELSE accepted END AS a, CASE WHEN held THEN 0 ELSE rejected END AS r FROM k),
+g AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM z GROUP BY gram),
+o0 AS (SELECT substr(gram, {m + 1}, 1) AS s, sum(a) AS a, sum(r) AS r FROM g GROUP BY 1),
+t AS (SELECT sum(a) AS na, sum(r) AS nr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr, count(*) AS letters FROM o0),
+l0 AS (SELECT s, (a + ta / letters) / (na + ta) AS pa, (r + tr / letters) / (nr + tr) AS pr FROM o0, t),{levels}
+q AS (SELECT key, round(sum(round((ln(pa) - ln(pr)) * 1e9)) / 1e9 / (length(key) + 1), 9) AS score FROM z JOIN l{m} ON gram = s GROUP BY key),
+b AS (SELECT floor(greatest(-5, least(5, score)) * {u.BINS / 10})::INT AS bin, sum(accepted) AS a, sum(rejected) AS r FROM q JOIN k USING (key) WHERE held AND accepted + rejected > 0 GROUP BY 1),
+e AS (SELECT i, i * 10 / {u.BINS} AS edge, round((1 - coalesce(sum(a) FILTER (bin < i), 0) / sum(a) + coalesce(sum(r) FILTER (bin < i), 0) / sum(r)) / 2, 12) AS rate FROM range(-{half}, {half + 2}) v(i), b GROUP BY i),
+best AS (SELECT edge FROM e ORDER BY rate DESC, abs(edge), edge DESC LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT edge FROM best) THEN 'allow' ELSE 'block' END) AS verdict FROM d JOIN q USING (key)
+"""
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.similar(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -150,9 +219,12 @@ FROM d LEFT JOIN kept USING (r)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_soft_mixing": op1_soft_mixing,
+        "op2_site_style_tree": op2_site_style_tree,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
+        "op5_tool_call_linking": op5_tool_call_linking,
         "op6_quality_rules": op6_quality_rules,
+        "op7_url_language_model": op7_url_language_model,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
@@ -160,4 +232,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op10_suffix_array_dedup": OP10_SQL}
+    return {
+        "op3_exact_dedup": OP3_SQL,
+        "op4_warc": OP4_SQL,
+        "op5_tool_call_linking": OP5_SQL,
+        "op6_quality_rules": OP6_SQL,
+        "op7_url_language_model": _op7_sql(),
+        "op8_ngram_jaccard_join": OP8_SQL,
+        "op10_suffix_array_dedup": OP10_SQL,
+    }
