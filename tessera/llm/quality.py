@@ -53,85 +53,103 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
 
 
 def _repeats(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more in the array."""
+    """Words inside three-word windows that occur twice or more in the array.
 
-    def positions(s: Column) -> Column:
+    Windows are sorted by a hash; neighbours with equal hashes are compared word by word.
+    """
+
+    def windows(w: Column) -> Column:
+        gram = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(gram(i).alias("g"), i.alias("i"))))
+
+    def positions(w: Column, s: Column) -> Column:
         n = F.size(s)
 
-        def twin(k: Column) -> Column:
-            before = F.when(k > 0, F.get(s, k - 1)["g"] == F.get(s, k)["g"]).otherwise(False)
-            after = F.when(k < n - 1, F.get(s, k + 1)["g"] == F.get(s, k)["g"]).otherwise(False)
-            return before | after
+        def equal(a: Column, b: Column) -> Column:
+            x, y = F.get(s, a), F.get(s, b)
+            same = x["g"] == y["g"]
+            for k in range(3):
+                same = same & (F.get(w, x["i"] + k) == F.get(w, y["i"] + k))
+            return same
 
-        return F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), n - 1), twin), lambda k: F.get(s, k)["i"]))
+        twin = lambda k: F.when(k > 0, equal(k - 1, k)).otherwise(False) | F.when(k < n - 1, equal(k, k + 1)).otherwise(False)
+        return F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), n - 1), twin), lambda k: F.get(s, k)["i"]))
 
     def covered(p: Column) -> Column:
         gaps = F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(3), lambda a, k: a + F.least(F.lit(3), F.get(p, k) - F.get(p, k - 1)))
         return F.when(F.size(p) == 0, 0).when(F.size(p) == 1, 3).otherwise(gaps)
 
-    def windows(w: Column) -> Column:
-        return F.array_sort(
-            F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
+    return F.when(F.size(words) < 3, 0).otherwise(_let(windows(words), lambda s: _let(positions(words, s), covered)))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "word_chars"),
+    "stop_word_ratio": ("n_stop_words", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "repeat_word_ratio": ("n_repeat_words", "n_words"),
+    "shout_ratio": ("n_shouts", "word_chars"),
+}
+
+
+def counts(text: Column) -> Column:
+    """A struct of the base counts; words and lines are split once."""
+    stops = sorted(set(STOP_WORDS))
+
+    def of(t: Column, w: Column, lines: Column) -> Column:
+        made = (
+            F.size(w),
+            F.length(F.translate(t, SPACES, "")),
+            F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+            F.length(F.regexp_replace(t, r"[^!\p{Lu}]+", "")),
+            F.size(lines),
+            F.size(lines) - F.size(F.array_distinct(lines)),
+            _repeats(w),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*stops))),
         )
+        return F.struct(*[c.cast("long").alias(n) for n, c in zip(COUNTS, made, strict=True)])
+
+    worded = lambda line: F.length(F.translate(line, SPACES, "")) > 0
+    words = lambda t: F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(words(t), lambda w: _let(F.filter(F.split(t, "\n"), worded), lambda lines: of(t, w, lines))))
+
 
-    return _let(words, lambda w: F.when(F.size(w) < 3, 0).otherwise(_let(windows(w), lambda s: _let(positions(s), covered))))
-
-
-def metrics(text: Column) -> dict[str, Column]:
-    """The base counts of a text, each a column of built-in functions; ``words`` is an array."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
-    return {
-        "words": F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_shouts": F.length(F.regexp_replace(text, r"[^!\p{Lu}]+", "")).cast("long"),
-        "n_lines": _let(lines, F.size).cast("long"),
-        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-    }
-
-
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the base counts and the ratios that rules may bound."""
-    out = docs.withColumns(metrics(F.col(text_col)))
-    out = out.withColumns(
-        {
-            "n_words": F.size("words").cast("long"),
-            "n_repeat_words": _repeats(F.col("words")).cast("long"),
-            "n_stop_words": F.size(F.filter("words", lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))).cast("long"),
-        }
-    ).drop("words")
-    per = lambda x, of: F.when(F.col(of) > 0, F.col(x) / F.col(of)).otherwise(F.lit(0.0))
-    return out.withColumns(
-        {
-            "mean_word_chars": per("word_chars", "n_words"),
-            "symbol_ratio": per("n_symbols", "word_chars"),
-            "stop_word_ratio": per("n_stop_words", "n_words"),
-            "dup_line_ratio": per("n_dup_lines", "n_lines"),
-            "repeat_word_ratio": per("n_repeat_words", "n_words"),
-            "shout_ratio": per("n_shouts", "word_chars"),
-        }
-    )
-
-
-def compile_rules(rules: tuple[Rule, ...]) -> Column:
-    """True where every rule holds."""
+def metrics(text: Column) -> Column:
+    """A struct of the counts and the ratios that rules may bound; a ratio of nothing is 0."""
+    per = lambda m, x, of: F.when(m[of] > 0, m[x] / m[of]).otherwise(F.lit(0.0))
+    return _let(counts(text), lambda m: F.struct(*[m[c].alias(c) for c in COUNTS], *[per(m, *of).alias(r) for r, of in RATIOS.items()]))
+
+
+def compile_rules(rules: tuple[Rule, ...], measured: Column) -> Column:
+    """True where every rule holds of a struct of metrics."""
     held = F.lit(True)
     for r in rules:
         if r.low is not None:
-            held = held & (F.col(r.metric) >= F.lit(r.low))
+            held = held & (measured[r.metric] >= F.lit(r.low))
         if r.high is not None:
-            held = held & (F.col(r.metric) <= F.lit(r.high))
+            held = held & (measured[r.metric] <= F.lit(r.high))
     return held
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the metrics, ``base_failed`` and ``kept``: one expression, whose parts are each computed once."""
+    names = (*COUNTS, *RATIOS)
+
+    def of(m: Column) -> Column:
+        base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return F.struct(*[m[n].alias(n) for n in names], base.alias("base_failed"), (~base & compile_rules(rules, m)).alias("kept"))
+
+    return _let(metrics(text), of)
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Adds the metrics, ``base_failed`` and ``kept``."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measure(docs, text_col).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    names = (*COUNTS, *RATIOS, "base_failed", "kept")
+    found = docs.withColumn("_verdict", verdict(F.col(text_col), rules))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col("_verdict")[n].alias(n) for n in names])
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows that pass, with all their columns, whatever their names."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    return judge(rows, rules, "_text").where("kept").select("_row.*")
+    return docs.where(verdict(F.col(text_col), rules)["kept"])

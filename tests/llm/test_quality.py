@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality
 
@@ -45,5 +46,5 @@ def test_keep_and_empty(spark):
 
 @pytest.mark.parametrize(("rule", "kept"), [(quality.Rule("n_words", low=50), {1, 6, 8, 9, 10}), (quality.Rule("symbol_ratio", high=0.0), {1, 2, 3, 4, 5, 6, 8, 9, 10})])
 def test_each_rule(spark, rule, kept):
-    docs = quality.measure(spark.createDataFrame(TEXTS, "doc_id long, text string")).withColumn("held", quality.compile_rules((rule,)))
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("m", quality.metrics(F.col("text"))).withColumn("held", quality.compile_rules((rule,), F.col("m")))
     assert {r.doc_id for r in docs.where("held").collect()} == kept
