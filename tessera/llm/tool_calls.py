@@ -1,8 +1,9 @@
 """Chat formatting: tool calls and results are linked, ordered, validated and serialised as canonical JSON.
 
 1. Calls and results, one row each per identifier of a conversation, meet in a shuffled hash join.
-2. Calls get topological levels: 0 without dependencies, else one above the highest of them, round by round (Kahn). A call in
-   or behind a cycle gets none. A round is a join of the last level with the dependencies, so rounds grow with depth.
+2. Calls get topological levels: 0 without dependencies, else one above the highest of them. Chains of single dependencies
+   are followed by pointers that double each round; calls with several dependencies get theirs round by round (Kahn). A
+   call in or behind a cycle gets none.
 3. Arguments are checked against the tool's schema by expressions over the parsed JSON.
 4. The record is written with sorted keys, without white space.
 
@@ -85,30 +86,60 @@ def results_of(messages: DataFrame) -> DataFrame:
     return said.union(plain.select("conv_id", "turn", F.concat(F.lit("call-"), F.col("turn") - 1), "text"))
 
 
+def _chains(single: DataFrame, junctions: DataFrame, scratch: Scratch) -> DataFrame:
+    """``conv_id, call_id, anchor, steps`` of calls with one dependency: the first call with none or several that their chain
+    of dependencies leads to. Pointers double each round; chains that end in a cycle have no anchor and are left out."""
+    ends = junctions.select("conv_id", F.col("call_id").alias("anchor"), F.lit(True).alias("found"))
+    at = single.select("conv_id", "call_id", F.col("dep").alias("anchor"), F.lit(1).alias("steps")).join(ends, ["conv_id", "anchor"], "left")
+    at = scratch.save(at.select("conv_id", "call_id", "anchor", "steps", F.coalesce("found", F.lit(False)).alias("found")), "chain0")
+    k, left, before = 0, at.where("not found").count(), -1
+    while left and left != before:
+        k += 1
+        on = at.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("found").alias("ends"))
+        moved = at.where("not found").join(on, ["conv_id", "anchor"]).select("conv_id", "call_id", F.col("next").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("found"))
+        at = scratch.save(at.where("found").union(moved), f"chain{k}")
+        scratch.drop(f"chain{k - 1}")
+        left, before = at.where("not found").count(), left
+    return at.where("found").drop("found")
+
+
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """``conv_id, call_id, level, unknown`` of distinct calls: the level, null in or behind a cycle, and unknown dependencies."""
-    ids = calls.select("conv_id", "call_id")
-    wanted = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep"))
+    """``conv_id, call_id, level, unknown`` of distinct calls: the level, null in or behind a cycle, and unknown dependencies.
+
+    Chains of single dependencies are followed first, in rounds that grow with the logarithm of their length, so that Kahn's
+    rounds only step from one call with several dependencies to the next.
+    """
+    key = ["conv_id", "call_id"]
+    ids = calls.select(*key)
+    wanted = calls.select(*key, F.explode(F.array_distinct("after")).alias("dep"))
     known = ids.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("known"))
     edges = scratch.save(wanted.join(known, ["conv_id", "dep"], "left"), "edges")
-    need = edges.groupBy("conv_id", "call_id").agg(F.count("known").alias("left"), F.count_if(F.col("known").isNull()).alias("unknown"))
-    state = scratch.save(ids.join(need, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("unknown", F.lit(0)).alias("unknown")), "state")
+    need = edges.groupBy(*key).agg(F.count("known").alias("left"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    state = scratch.save(ids.join(need, key, "left").select(*key, F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("unknown", F.lit(0)).alias("unknown")), "state")
     edges = edges.where("known").drop("known")
-    done, k = [], 0
-    front = scratch.save(state.where("left = 0").select("conv_id", "call_id", F.lit(0).alias("level")), "level0")
-    waiting = state.where("left > 0").select("conv_id", "call_id", "left")
+    single = edges.join(state.where("left = 1").select(*key), key)
+    chains = _chains(single, state.where("left <> 1"), scratch)
+    # dependencies of calls with several, as the anchors that they hang on and the steps to them
+    anchors = chains.union(state.where("left <> 1").select(*key, F.col("call_id").alias("anchor"), F.lit(0).alias("steps")))
+    anchors = scratch.save(anchors, "anchors")
+    several = state.where("left > 1").select(*key, "left")
+    hung = edges.join(several.select(*key), key).join(anchors.select("conv_id", F.col("call_id").alias("dep"), "anchor", "steps"), ["conv_id", "dep"])
+    hung = scratch.save(hung.select(*key, "anchor", "steps"), "hung")
+    front = scratch.save(state.where("left = 0").select(*key, F.lit(0).alias("level")), "level0")
+    waiting, done, k = several.withColumn("high", F.lit(0)), [], 0
     while front.take(1):
         done.append(front)
         k += 1
-        freed = edges.join(front.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
-        after = waiting.join(freed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"))
+        freed = hung.join(front.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"]).groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("level") + F.col("steps")).alias("top"))
+        after = waiting.join(freed, key, "left").select(*key, (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("high", F.coalesce("top", F.lit(0))).alias("high"))
         after = scratch.save(after, f"waiting{k}")
-        front = scratch.save(after.where("left = 0").select("conv_id", "call_id", F.lit(k).alias("level")), f"level{k}")
+        front = scratch.save(after.where("left = 0").select(*key, (F.col("high") + 1).alias("level")), f"level{k}")
         waiting = after.where("left > 0")
-    ranked = waiting.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"))
-    for d in done:
+    ranked = done[0] if done else front
+    for d in done[1:]:
         ranked = ranked.union(d)
-    return ranked.join(state.select("conv_id", "call_id", "unknown"), ["conv_id", "call_id"])
+    ranked = anchors.join(ranked.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base")), ["conv_id", "anchor"]).select(*key, (F.col("base") + F.col("steps")).alias("level"))
+    return state.select(*key, "unknown").join(ranked, key, "left")
 
 
 def errors(schemas: dict[str, tuple[Field, ...]]) -> Column:

@@ -32,6 +32,16 @@ def test_links_levels_and_status(spark):
     assert rows[4, None].status == rows[None, "q"].status == rows[None, "a"].status == "no identifier"
 
 
+def test_long_chains_and_junctions(spark):
+    calls = [(1, i, 0, f"c{i}", "add", '{"a":1}', [f"c{i - 1}"] if i else []) for i in range(70)]
+    calls += [(1, 100, 0, "j", "add", '{"a":1}', ["c69", "c3"]), (1, 101, 0, "k", "add", '{"a":1}', ["j"]), (1, 102, 0, "m", "add", '{"a":1}', ["k", "c1", "j"]), (1, 103, 0, "n", "add", '{"a":1}', ["m"])]
+    calls += [(2, 0, 0, "p", "add", '{"a":1}', ["q"]), (2, 1, 0, "q", "add", '{"a":1}', ["p"]), (2, 2, 0, "r", "add", '{"a":1}', ["q"]), (2, 3, 0, "s", "add", '{"a":1}', ["r", "t"]), (2, 4, 0, "t", "add", '{"a":1}', []), (2, 5, 0, "u", "add", '{"a":1}', ["u"])]
+    rows = run(spark, calls, [])
+    assert [rows[1, f"c{i}"].level for i in range(70)] == list(range(70))
+    assert [rows[1, c].level for c in "jkmn"] == [70, 71, 72, 73]
+    assert [rows[2, c].level for c in "pqrstu"] == [None, None, None, None, 0, None]
+
+
 def test_arguments_against_schemas(spark):
     cases = {
         '{"a": 1, "b": 2.5}': "", '{"a": "1"}': "a is not of type integer", '{"b": 11}': "a is missing; b is above 10", '{"a":1,"z":0,"s":"x"}': "s is below 2; z is not known",
