@@ -9,8 +9,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-METRICS = "struct<lapvar double, tenengrad double, luma double, clip_low double, clip_high double, rms double, noise double, colorfulness double, textness double>"
+NAMES = ("lapvar", "tenengrad", "luma", "clip_low", "clip_high", "rms", "noise", "colorfulness", "textness")
+METRICS = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
 
 
 def to_gray(img: np.ndarray) -> np.ndarray:
@@ -219,7 +221,7 @@ def embed(img: np.ndarray, weights: tuple[float, float] = (0.6, 0.4)) -> np.ndar
     return unit(np.concatenate([unit(phash_bits(img)) * np.sqrt(a), unit(hsv_histogram(img)) * np.sqrt(b)]))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def frame_embedding(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([embed(np.frombuffer(d, np.uint8).reshape(h, w, 3)).astype(np.float32) for h, w, d in zip(height, width, data, strict=True)])
 

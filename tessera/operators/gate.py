@@ -19,8 +19,8 @@ def blur_cuts(frames: DataFrame, cfg: SelectConfig) -> DataFrame:
     that the whole sequence's median sets, whichever is more. A frame that cannot see its own stratum in a window
     expression gets both strata's medians, and picks.
     """
-    w = cfg.blur_neighbor_window_sec
-    near = Window.partitionBy("video_id").orderBy("t").rangeBetween(-w, w)
+    w = round(cfg.blur_neighbor_window_sec * 1e6)  # whole microseconds, as frames of ranges are whole
+    near = Window.partitionBy("video_id").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-w, w)
     whole = Window.partitionBy("video_id")
     median = lambda c, over: F.percentile(c, F.lit(0.5)).over(over)
     own = lambda r: F.when(F.col("rescued") == F.lit(r), F.col("lapvar"))

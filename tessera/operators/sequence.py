@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
 
-ORDERED = Window.partitionBy("video_id").orderBy("frame_index")
-
 
 def adjacent_similarity(rows: DataFrame) -> DataFrame:
     """Adds ``sim``, the product with the row before; null for the first."""
-    before = F.lag("embedding").over(ORDERED)
+    before = F.lag("embedding").over(Window.partitionBy("video_id").orderBy("frame_index"))
     return rows.withColumn("_before", before).withColumn("sim", F.when(F.col("_before").isNotNull(), dot(F.col("_before"), F.col("embedding")))).drop("_before")
 
 
