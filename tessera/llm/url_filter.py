@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, shuffle_partitions
 
 ORDER, MIN_CONTEXT, HOLD_OUT, BINS = 4, 2, 5, 400
 #: Rows of the model that are sent to all executors at most, about 40 bytes each; beyond that the join shuffles.
@@ -74,6 +74,7 @@ def decide(rules: tuple[UrlRule, ...]) -> tuple[Column, Column]:
 def _strings(urls: DataFrame, order: int) -> DataFrame:
     """A row for each character of each url, and its end: the string of the ``order`` characters before it and itself."""
     padded = F.concat(F.lit(START * order), F.col("key"), F.lit(END))
+    urls = urls.repartition(shuffle_partitions(urls.sparkSession), "key")  # small rows, which grow here
     return urls.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))).alias("gram"))
 
 
