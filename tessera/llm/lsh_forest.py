@@ -228,7 +228,9 @@ def similar(
     components = scratch.save(connected_components(scratch, stars, "meet"), "components")
 
     # texts of nodes that meet others, by component, or by pair of blocks of a large one
-    many = components.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    # blocks of at most ``block`` nodes; a smaller component is dealt over up to eight, so that its pairs of blocks spread
+    wide = F.greatest(F.ceil(F.col("count") / block), F.least(F.lit(8), F.ceil(F.col("count") / min(block, 128))))
+    many = components.groupBy("component").count().where(F.col("count") > min(block, 128)).select("component", wide.cast("int").alias("blocks"))
     many = scratch.save(many, "many")
     large = bool(many.take(1))
     dealt = components.join(many, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
