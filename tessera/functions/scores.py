@@ -43,11 +43,13 @@ def reject_reason(luma: Column, clip_low: Column, clip_high: Column, lapvar: Col
     )
 
 
-def reject_detail(reason: Column, luma: Column, clip_low: Column, clip_high: Column, lapvar: Column, cut: Column) -> Column:
+def reject_detail(reason: Column, luma: Column, clip_low: Column, clip_high: Column, lapvar: Column, cut: Column, rescued: Column) -> Column:
+    """What a test saw: the measures, and for blur the stratum that the cut comes from."""
+    stratum = F.when(rescued, "rescued").otherwise("normal")
     return (
         F.when(reason == "underexposed", F.format_string("luma=%.3f clip_low=%.3f", luma, clip_low))
         .when(reason == "overexposed", F.format_string("luma=%.3f clip_high=%.3f", luma, clip_high))
-        .when(reason == "blur", F.format_string("lapvar=%.2f cut=%.2f", lapvar, cut))
+        .when(reason == "blur", F.format_string("lapvar=%.2f cut=%.2f (%s)", lapvar, cut, stratum))
     )
 
 

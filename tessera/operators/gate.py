@@ -60,6 +60,15 @@ def readable(frames: DataFrame, cfg: SelectConfig) -> DataFrame:
     return rows.withColumn("score", scores.readability({n: F.col(n) for n in names}, F.col("reference"), cfg.text_weight)).drop("reference")
 
 
+STAGES = ("decoded", "rescued", "after_gate", "shots", "selected")
+
+
+def stages(funnel: DataFrame) -> DataFrame:
+    """``video_id, stage, n, share``: a row a stage of the funnel, with its share of the first."""
+    rows = funnel.select("video_id", "decoded", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("long").alias("n")) for s in STAGES])).alias("s"))
+    return rows.select("video_id", "s.stage", "s.n", F.when(F.col("decoded") > 0, F.col("s.n") / F.col("decoded")).otherwise(0.0).alias("share"))
+
+
 def funnel(gated: DataFrame, shots: DataFrame, picked: DataFrame) -> DataFrame:
     """``video_id, decoded, rescued, after_gate, shots, selected, reduction_ratio``."""
     a = gated.groupBy("video_id").agg(F.count("*").alias("decoded"), F.count_if("rescued").alias("rescued"), F.count_if(F.col("reason").isNull()).alias("after_gate"))

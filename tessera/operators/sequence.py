@@ -19,6 +19,11 @@ def adjacent_similarity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_before", before).withColumn("sim", F.when(F.col("_before").isNotNull(), dot(F.col("_before"), F.col("embedding")))).drop("_before")
 
 
+def mean_similarity(similar: DataFrame) -> DataFrame:
+    """``video_id, mean_sim``: of adjacent rows; 1 for a sequence without pairs."""
+    return similar.groupBy("video_id").agg(F.coalesce(F.avg("sim"), F.lit(1.0)).alias("mean_sim"))
+
+
 def lower_quantile(values: Column, q: float) -> Column:
     """The largest of the collected values at or below the quantile's place."""
     ordered = F.sort_array(F.collect_list(values))

@@ -298,11 +298,13 @@ def parse_format_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("seconds", text.parse_time(F.col("shown")))
 
 
-@query(r"SELECT page_id, regexp_matches(regexp_extract(url, '//([^./]*)\.', 1), '^[a-z0-9][a-z0-9-]*$') AS valid, regexp_extract(url, '/([a-z]{2})/(\d+)', 2) AS number, CAST(NULL AS VARCHAR) AS youtube_id FROM pages WHERE NOT regexp_matches(url, 'youtu')")
+@query(
+    r"SELECT page_id, regexp_matches(regexp_extract(url, '//([^./]*)\.', 1), '^[a-z0-9][a-z0-9-]*$') AS valid, regexp_extract(url, '/([a-z]{2})/(\d+)', 2) AS number,"
+    r" nullif(regexp_extract(url, '^https?://(www\.|m\.)?(youtu\.be/|youtube\.com/(watch\?([^#]*&)?v=|shorts/|embed/|live/))([A-Za-z0-9_-]{11})([?&#/]|$)', 5), '') AS youtube_id FROM pages"
+)
 def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    rows = ad.table(spark, sf_dir, "pages").where(~url.rlike("youtu"))
-    return rows.select("page_id", text.is_key(F.regexp_extract(url, r"//([^./]*)\.", 1)).alias("valid"), F.regexp_extract(url, r"/([a-z]{2})/(\d+)", 2).alias("number"), text.youtube_id(url).alias("youtube_id"))
+    return ad.table(spark, sf_dir, "pages").select("page_id", text.is_key(F.regexp_extract(url, r"//([^./]*)\.", 1)).alias("valid"), F.regexp_extract(url, r"/([a-z]{2})/(\d+)", 2).alias("number"), text.youtube_id(url).alias("youtube_id"))
 
 
 @query(
@@ -397,9 +399,9 @@ def scaled_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selection(spark: SparkSession, sf_dir: str):  # noqa: ANN202
-    """Frames take the embedding whose number is their event's, modulo the number that every scale has."""
-    vec = ad.table(spark, sf_dir, "embeddings").where("vec_id < 500").select((F.col("vec_id")).alias("v"), "embedding")
-    rows = ad.frames(spark, sf_dir).withColumn("v", F.pmod("event_id", F.lit(500))).join(vec, "v")
+    """Frames take the embedding whose number is their event's, modulo the number of embeddings."""
+    table = ad.table(spark, sf_dir, "embeddings")
+    rows = ad.frames(spark, sf_dir).withColumn("v", F.pmod("event_id", F.lit(table.count()))).join(table.select(F.col("vec_id").alias("v"), "embedding"), "v")
     cfg = SelectConfig(blur_neighbor_window_sec=ad.DAY, max_keyframes=8, scene_similarity_threshold=0.05, duplicate_shot_threshold=0.3, min_shot_gap_sec=ad.DAY)
     return select_keyframes(rows, cfg)
 

@@ -31,7 +31,7 @@ def select_keyframes(frames: DataFrame, cfg: SelectConfig | None = None, embedde
     """
     cfg = (cfg or SelectConfig()).bound_to(*EMBEDDER_THRESHOLDS[embedder])
     judged = gate.gate(gate.readable(frames, cfg), cfg)
-    detail = scores.reject_detail(F.col("reason"), F.col("luma"), F.col("clip_low"), F.col("clip_high"), F.col("lapvar"), F.col("cut"))
+    detail = scores.reject_detail(F.col("reason"), F.col("luma"), F.col("clip_low"), F.col("clip_high"), F.col("lapvar"), F.col("cut"), F.col("rescued"))
     out = judged.where("reason is not null").select(*KEYS, "t", "reason", detail.alias("detail"))
     kept = judged.where("reason is null")
     if cfg.selection_strategy == "text_nms":

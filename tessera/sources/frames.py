@@ -26,6 +26,12 @@ def read_images(spark: SparkSession, path: str, fps: float = 1.0) -> DataFrame:
     return files.select(video.alias("video_id"), "path", "content").withColumn("frame_index", place).withColumn("t", F.col("frame_index") / F.lit(float(fps)))
 
 
+def decode_step(fps: F.Column, sample_fps: float = 1.0) -> F.Column:
+    """Every how many frames one is decoded: the ratio rounded half to even, at least 1; 30 where the rate is not known."""
+    rate = F.when(fps > 0, fps).otherwise(30.0)
+    return F.greatest(F.bround(rate / F.lit(float(sample_fps))).cast("int"), F.lit(1))
+
+
 def content_hash(content: str) -> F.Column:
     return F.sha2(F.col(content), 256)
 

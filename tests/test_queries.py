@@ -1,7 +1,7 @@
 import pytest
 from oracle import DATA, same, there
 
-from tessera.plans import queries
+from tessera.plans import features, queries  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not there(), reason="needs the driver's tables")
 
