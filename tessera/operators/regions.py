@@ -1,7 +1,7 @@
 """Regions of an image as rows: which may be letters, how they align, what area they cover, and the saliency that follows.
 
 A region is ``frame, x, y, w, h`` in whole pixels. Regions of a frame meet by its key; alignment is two aggregates, and only
-the union of overlapping rectangles needs the regions of one frame together.
+the union of overlapping rectangles needs the regions of one frame together, as an array.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.pixels import union_area
 from tessera.functions.scores import clip, passes_geometry, textness
@@ -27,15 +28,15 @@ def alignment(regions: DataFrame, height: int) -> DataFrame:
     return found.select("frame", "n", F.when(F.col("n") < 2, 0.0).otherwise(clip((F.col("most") - 1) / 8.0)).alias("alignment"))
 
 
-def covered(regions: DataFrame) -> DataFrame:
-    """``frame, area``: the pixels that the regions of a frame cover, overlaps once."""
+@F.pandas_udf(T.LongType())
+def _area(boxes: pd.Series) -> pd.Series:
+    return boxes.map(lambda own: int(union_area([tuple(b) for b in own])))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = list(zip(pdf["x"], pdf["y"], pdf["w"], pdf["h"], strict=True))
-        return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "area": [int(union_area(boxes))]})
 
-    whole = regions.select(*[F.col(c).cast("long").alias(c) for c in ("frame", "x", "y", "w", "h")]).distinct()
-    return whole.groupBy("frame").applyInPandas(one, "frame long, area long")
+def covered(regions: DataFrame) -> DataFrame:
+    """``frame, area``: the pixels that the regions of a frame cover, overlaps once."""
+    box = F.array(*[F.col(c).cast("long") for c in ("x", "y", "w", "h")])
+    return regions.groupBy("frame").agg(F.collect_set(box).alias("boxes")).select("frame", _area("boxes").alias("area"))
 
 
 def saliency(regions: DataFrame, width: int, height: int) -> DataFrame:
@@ -45,6 +46,18 @@ def saliency(regions: DataFrame, width: int, height: int) -> DataFrame:
     return met.withColumn("textness", textness(F.col("area") / F.lit(float(width * height)), F.col("n"), F.col("alignment")))
 
 
+def detected(rects: DataFrame, scale: float, unclip: float = 1.6) -> DataFrame:
+    """``frame, n, area``: rectangles ``frame, w, h, p`` of a detector that pass its filters, and their grown area.
+
+    A rectangle passes with a shorter side of 3 and a mean probability of 0.5 at least, if it is grown to 5 and to over 3 pixels
+    of the image that is ``scale`` times as large.
+    """
+    w, h, by = F.col("w"), F.col("h"), F.col("w") * F.col("h") * unclip / (F.col("w") + F.col("h"))
+    side = F.least(w, h) + by
+    passed = rects.where((F.least(w, h) >= 3) & (F.col("p") >= 0.5) & (side >= 5) & (side * scale > 3))
+    return passed.groupBy("frame").agg(F.count("*").alias("n"), F.sum((w + by) * (h + by) * scale * scale).alias("area"))
+
+
 def histogram(rows: DataFrame, key: str, channels: dict[str, tuple[float, int]]) -> DataFrame:
     """``key, bin, share``: shares of a joint histogram; a channel is given by its upper end and its number of bins.
 

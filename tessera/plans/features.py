@@ -55,6 +55,15 @@ def text_saliency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("frame", "n", "area", F.round("alignment", 6).alias("alignment"), F.round("textness", 6).alias("textness"))
 
 
+@query(
+    "WITH r AS (SELECT l_orderkey AS frame, l_quantity AS w, l_linenumber * 2.0::DOUBLE AS h, 1 - l_discount * 10 AS p, l_quantity * l_linenumber * 2.0::DOUBLE * 1.6::DOUBLE / (l_quantity + l_linenumber * 2.0::DOUBLE) AS d FROM lineitem)"
+    " SELECT frame, count(*) AS n, round(sum((w + d) * (h + d) * 2.25::DOUBLE), 4) AS area FROM r WHERE least(w, h) >= 3 AND p >= 0.5 AND least(w, h) + d >= 5 AND (least(w, h) + d) * 1.5 > 3 GROUP BY frame"
+)
+def detected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_quantity").alias("w"), (F.col("l_linenumber") * 2.0).alias("h"), (1 - F.col("l_discount") * 10).alias("p"))
+    return regions.detected(rows, 1.5).withColumn("area", F.round("area", 4))
+
+
 @query(
     "WITH b AS (SELECT l_returnflag, least(7, floor(l_quantity * 8 / 51)) * 32 + least(7, floor(l_discount * 8 / 0.11)) * 4 + least(3, floor(l_tax * 4 / 0.09)) AS bin FROM lineitem)"
     " SELECT l_returnflag, bin::INT AS bin, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 9) AS share FROM b GROUP BY l_returnflag, bin"

@@ -144,7 +144,16 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.drop_near_duplicates(ad.vectors(spark, sf_dir), 0.3)
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + ad.VECTORS_SQL
+    + """, k(video_id, step, frame_index, taken, chosen) AS (
+  SELECT video_id, 1, frame_index, [frame_index], [e] FROM v QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY e[1] DESC, frame_index) = 1
+  UNION ALL SELECT v.video_id, step + 1, v.frame_index, list_append(taken, v.frame_index), list_append(chosen, v.e) FROM v JOIN k ON v.video_id = k.video_id
+  WHERE step < 8 AND NOT list_contains(taken, v.frame_index)
+  QUALIFY row_number() OVER (PARTITION BY v.video_id ORDER BY list_max(list_transform(chosen, lambda x: list_inner_product(x, v.e))), v.e[1] DESC, v.frame_index) = 1)
+SELECT video_id, frame_index FROM k"""
+)
 def kcenter_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.pick_diverse(ad.vectors(spark, sf_dir).withColumn("score", F.col("embedding")[0]), 8)
 
