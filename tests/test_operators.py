@@ -178,3 +178,46 @@ def test_stream_equals_batch(spark, tmp_path):
     run.stop()
     made = [r.shot_id for r in spark.table("shots").orderBy("frame_index").collect()]
     assert made == shots_of(spark, [(1, 0)] * 3 + [(0, 1)] * 3 + [(1, 0)] * 3, 1.0)
+
+
+def test_regions_against_masks(spark):
+    import numpy as np
+
+    from tessera.operators import regions
+
+    rng = np.random.default_rng(5)
+    rows = [(int(f), int(x), int(y), int(w), int(h)) for f, x, y, w, h in zip(rng.integers(0, 6, 60), rng.integers(0, 90, 60), rng.integers(0, 70, 60), rng.integers(0, 30, 60), rng.integers(4, 20, 60), strict=True)]
+    made = {r.frame: r for r in regions.saliency(spark.createDataFrame(rows, "frame long, x long, y long, w long, h long"), 128, 96).collect()}
+    for frame in range(6):
+        own = [b[1:] for b in rows if b[0] == frame and b[3] > 0 and 0.08 <= b[3] / b[4] <= 12 and 8 <= b[4] <= 400 and b[3] * b[4] >= 40 and b[3] * b[4] <= 0.2 * 128 * 96]
+        mask = np.zeros((96, 128), bool)
+        for x, y, w, h in own:
+            mask[y : y + h, x : x + w] = True
+        bands = [(y + h // 2) // 4 for _, y, _, h in own]
+        aligned = 0.0 if len(own) < 2 else min(1.0, (max(bands.count(b) for b in bands) - 1) / 8)
+        assert (made[frame].n, made[frame].area) == (len(own), int(mask.sum()))
+        assert made[frame].alignment == pytest.approx(aligned)
+        assert made[frame].textness == pytest.approx(min(1, 0.5 * min(1, mask.sum() / (128 * 96) / 0.35) + 0.2 * min(1, len(own) / 120) + 0.3 * aligned))
+    assert regions.saliency(spark.createDataFrame([], "frame long, x long, y long, w long, h long"), 128, 96).count() == 0
+
+
+def test_fuzzy_match_against_brute_force(spark, tmp_path):
+    import random
+
+    from tessera.functions.text import best_ratio, normalize
+    from tessera.plans import queries
+
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 8))) for _ in range(300)]
+    items = [" ".join(draw.choices(words, k=20)) for _ in range(6)]
+    docs = [" ".join(draw.choices(words, k=30)) for _ in range(8)] + ["", None]
+    for k, item in enumerate(items):
+        edited = item.split()
+        for _ in range(k // 2):
+            edited[draw.randrange(20)] = draw.choice(words)
+        docs.append(" ".join([*draw.choices(words, k=10), *edited, *draw.choices(words, k=10)]))
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = {(r.doc_id, r.item_id) for r in queries.fuzzy_match(spark, str(tmp_path)).collect()}
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if best_ratio(normalize(doc), normalize(item)) >= 0.8}
+    assert made == want and len(want) >= 6
