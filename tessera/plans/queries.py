@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import SelectConfig
 from tessera.functions import scores, text, vectors
-from tessera.operators import gate, recall, sequence
+from tessera.operators import fuzzy, gate, recall, sequence
 from tessera.plans import adapters as ad
 from tessera.plans.select import select_keyframes
 from tessera.sources import frames as sampling
@@ -295,8 +295,8 @@ def exact_contains_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = _candidates(spark, sf_dir, 6).withColumn("similarity", text.best_similarity(F.col("doc"), F.col("item")))
-    return met.where("similarity >= 0.8").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    met = fuzzy.match(ad.table(spark, sf_dir, "documents").select("doc_id", "text"), ad.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return met.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
