@@ -189,21 +189,37 @@ def _blocks(node: Node) -> list[Node]:
     return out
 
 
-def _contents(node: Node) -> list[str]:
-    """What a block itself shows: its own text, and the targets of its links and images."""
+def _contents(node: Node, whole: bool = False) -> list[str]:
+    """What a block itself shows: its own text, and the targets of its links and images; of the ``whole`` branch where the
+    depth ends, without what HTML itself states to be no content."""
     text, out, todo = [], [], list(reversed(node.children))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             text.append(x)
-        elif x.tag in INLINE:
+        elif x.tag in INLINE or (whole and not x.noise):
             if x.links:
                 out.append(x.tag + " " + x.links)
+            if whole and x.tag not in INLINE:
+                text.append(" ")
+                todo.append(" ")
             todo += reversed(x.children)
     shown = " ".join("".join(text).split())
     return [shown, *out] if shown else out
 
 
+def _stays(node: Node, inside: bool) -> bool:
+    """Whether a text block of an article or main element is in the branch; such blocks are of full importance."""
+    todo = [(node, inside)]
+    while todo:
+        x, inside = todo.pop()
+        if inside and x.tag in TEXT_BLOCKS:
+            return True
+        inside = inside or _landmark(x)
+        todo += [(k, inside) for k in x.children if isinstance(k, Node) and not k.noise]
+    return False
+
+
 COUNTS = "host string, key long, parent long, level int, siblings int, style long, empty boolean, feature long, n long"
 TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 
@@ -215,10 +231,10 @@ def _count(depth: int):  # noqa: ANN202
             seen: Counter[tuple] = Counter()
             for host, page in zip(batch.column("host"), batch.column("html"), strict=True):
                 host = host.as_py()
-                for node, key, parent, level, siblings, kids, _ in walk(parse(page.as_py() or ""), host, depth):
+                for node, key, parent, level, siblings, kids, inside in walk(parse(page.as_py() or ""), host, depth):
                     style = "|".join(k.sign for k in kids)
-                    seen[host, key, parent, level, siblings, _hash(style), not kids, None] += 1
-                    for c in set(_contents(node)):
+                    seen[host, key, parent, level, siblings, _hash(style), not kids and not (level >= depth and _stays(node, inside)), None] += 1
+                    for c in set(_contents(node, level >= depth)):
                         seen[host, key, parent, level, siblings, None, None, _hash(c)] += 1
             rows = list(seen.items())
             for i in range(0, len(rows), 50_000):

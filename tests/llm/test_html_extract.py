@@ -92,3 +92,20 @@ def test_repeated_article_stays(spark):
     page = "<body><div class='zz'>hello world</div><article><p>same</p><p>text</p></article></body>"
     frame = spark.createDataFrame([(i, "http://s.com/", page) for i in range(6)], "page_id long, url string, html string")
     assert {r.text for r in hx.main_text(frame).collect()} == {"same\ntext"}
+
+
+def test_pages_of_a_host_that_nest_deeply_keep_their_texts(spark):
+    def deep(body, n=30):
+        return "<div>" * n + body + "</div>" * n
+
+    def rows(depth_of):
+        out = []
+        for i in range(4):
+            bodies = [f"different {i}", f"<a href='/{i}'>read</a>", f"<p>two</p><div><p>different {i}</p></div>", f"<article>{deep(f'<p>same</p><p>own {i}</p>')}</article>", f"<article>{deep('<p>same</p>')}</article>", "<article><p>same</p></article>"]
+            for k, body in enumerate(bodies):
+                out.append((10 * k + i, f"http://s{k}.com/", f"<html><body><div class='x1'>same words</div>{deep(body, depth_of)}</body></html>", hx.extract(body, "", frozenset())))
+            out.append((90 + i, "http://t.com/", f"<body><p>own {i}</p>{deep(f'the same on each<nav>{i}</nav>', depth_of)}</body>", f"own {i}"))
+        return out
+
+    made = spark.createDataFrame([r[:3] for r in rows(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in hx.main_text(made, depth=4).collect()} == {r[0]: r[3] for r in rows(8)}
