@@ -103,6 +103,7 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, *, min_revisit_byt
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
+OPENS = re.compile(VERSION.pattern + b"|" + re.escape(GZIP))
 
 
 @dataclass
@@ -151,45 +152,21 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     return Record(at, end + 4 - at, fields, payload), end + 4, ""
 
 
-def _plain(data: bytes) -> Iterator[Record | Gap]:
-    at = 0
-    while at < len(data):
-        record, end, why = _parse(data, at)
-        if record:
-            yield record
-            at = end
-            continue
-        found = VERSION.search(data, at + 1)
-        while found and not _parse(data, found.start())[0]:
-            found = VERSION.search(data, found.start() + 1)
-        end = found.start() if found else len(data)
-        yield Gap(at, end - at, why)
-        at = end
-
-
-def _gzipped(data: bytes) -> Iterator[Record | Gap]:
-    at, gap, why = 0, None, ""
-    while at < len(data):
-        found = _first_member(data, at)
-        if found is None:
-            gap, why = (at if gap is None else gap), why or "member does not inflate"
-            at = data.find(GZIP, at + 1)
-            at = len(data) if at < 0 else at
-            continue
-        made, end = found
-        record = _parse(made, 0) if made else (None, 0, "")
-        if made and (not record[0] or record[1] != len(made)):
-            gap, why = (at if gap is None else gap), why or record[2] or "member holds more than a record"
-            at = end
-            continue
-        if gap is not None:
-            yield Gap(gap, at - gap, why)
-            gap, why = None, ""
-        if made:
-            yield Record(at, end - at, record[0].fields, record[0].payload)
-        at = end
-    if gap is not None:
-        yield Gap(gap, len(data) - gap, why)
+def _at(data: bytes, at: int) -> tuple[Record | None, int, str]:
+    """The record at ``at``, plain or a gzip member, and where it ends; the reason if there is none, and where to look on.
+    An empty member has neither record nor reason."""
+    if not data.startswith(GZIP, at):
+        return _parse(data, at)
+    found = _first_member(data, at)
+    if found is None:
+        return None, at, "member does not inflate"
+    made, end = found
+    if not made:
+        return None, end, ""
+    record, stop, why = _parse(made, 0)
+    if record and stop == len(made):
+        return Record(at, end - at, record.fields, record.payload), end, ""
+    return None, end, why or "member holds more than a record"
 
 
 def _first_member(data: bytes, at: int) -> tuple[bytes, int] | None:
@@ -208,8 +185,26 @@ def _first_member(data: bytes, at: int) -> tuple[bytes, int] | None:
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive in order; together they cover every byte of it (but empty gzip members)."""
-    return _gzipped(data) if data[:2] == GZIP[:2] or GZIP in data[:4096] and not VERSION.match(data) else _plain(data)
+    """Records and gaps of an archive in order; together they cover every byte of it (but empty gzip members).
+
+    Behind damage it goes on at the nearest valid record, be it plain or a gzip member.
+    """
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        record, end, bad = _at(data, at)
+        if bad:
+            gap, why = (at if gap is None else gap), why or bad
+            found = OPENS.search(data, max(end, at + 1))
+            at = found.start() if found else len(data)
+            continue
+        if gap is not None:
+            yield Gap(gap, at - gap, why)
+            gap, why = None, ""
+        if record:
+            yield record
+        at = end
+    if gap is not None:
+        yield Gap(gap, len(data) - gap, why)
 
 
 READ = "path string, kind string, offset long, length long, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"

@@ -80,3 +80,28 @@ def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(pages, f"file://{tmp_path}/w", Scratch(spark, "t"))
     assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 0
+
+
+@pytest.mark.parametrize("place", [0, 1])
+def test_salvage_after_a_damaged_start(place):
+    import gzip
+    import random
+
+    body = random.Random(1).randbytes(9000).hex().encode()
+    rec = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x-page:99>\r\nContent-Length: 18000\r\n\r\n" + body + b"\r\n\r\n"
+    first = bytearray(gzip.compress(rec))
+    assert len(first) > 8192
+    first[place] ^= 0xFF
+    rest = archive(3, True) + archive(2, False) + archive(2, True)
+    data = bytes(first) + b"".join(rest)
+    found = list(warc.salvage(data))
+    assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == [f"<urn:x-page:{i}>" for i in (0, 1, 2, 0, 1, 0, 1)]
+    assert sum(x.length for x in found) == len(data)
+
+
+def test_salvage_of_plain_records_behind_a_gzip_magic():
+    recs = archive(4, False)
+    data = b"X" + recs[0][1:20] + warc.GZIP + recs[0][20:] + b"".join(recs[1:])
+    found = list(warc.salvage(data))
+    assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == [f"<urn:x-page:{i}>" for i in (1, 2, 3)]
+    assert (found[0].offset, found[0].length) == (0, len(recs[0]) + 3)
