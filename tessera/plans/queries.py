@@ -274,16 +274,20 @@ _PLAIN_SQL = "trim(regexp_replace(translate(coalesce(text, ''), 'abcdefghijklmno
 
 
 def _candidates(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """``doc_id, item_id, doc, item`` of texts that share a run of ``n`` plain words; no text meets all others."""
+    """``doc_id, item_id, doc_plain, item_plain`` of texts that share a run of ``n`` plain words, or as many as a shorter item has; no text meets all others."""
 
-    def runs(rows: DataFrame, key: str) -> DataFrame:
+    def runs(rows: DataFrame, key: str, k: int) -> DataFrame:
         w = rows.select(key, F.split("plain", " ").alias("w"))
-        grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")))
-        return w.where(F.size("w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("g"))
-
-    docs = ad.table(spark, sf_dir, "documents").select("doc_id", _plain("text").alias("plain"), F.col("text").alias("doc"))
-    items = ad.table(spark, sf_dir, "benchmark").select("item_id", _plain("text").alias("plain"), F.col("text").alias("item"))
-    pairs = runs(docs, "doc_id").join(runs(items, "item_id"), "g").select("doc_id", "item_id").distinct()
+        grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, k), " ")))
+        return w.where(F.size("w") >= k).select(key, F.explode(F.array_distinct(grams)).alias("g"))
+
+    docs = ad.table(spark, sf_dir, "documents").select("doc_id", _plain("text").alias("plain"))
+    items = ad.table(spark, sf_dir, "benchmark").select("item_id", _plain("text").alias("plain")).where("plain <> ''")
+    length = F.least(F.size(F.split("plain", " ")), F.lit(n))
+    pairs = None
+    for k in sorted(r[0] for r in items.select(length).distinct().collect()) or [n]:
+        met = runs(docs, "doc_id", k).join(runs(items.where(length == k), "item_id", k), "g").select("doc_id", "item_id").distinct()
+        pairs = met if pairs is None else pairs.union(met)
     return pairs.join(docs.withColumnRenamed("plain", "doc_plain"), "doc_id").join(items.withColumnRenamed("plain", "item_plain"), "item_id")
 
 
