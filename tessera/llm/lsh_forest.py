@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash banding, with exact verification.
 
-A document's shingles are its runs of five words. Each of ``trees`` prefix tries orders documents by a label of
-``levels`` MinHash values; documents meet where their labels share a prefix. ``prefix_length`` shortens the prefix from
-the full label until a pair at the threshold meets in some trie with the target probability, so at the default
-parameters 9,996 of 10,000 pairs at exactly 0.8 meet, and more of the closer ones.
+A document's shingles are its runs of five words. Each of ``trees`` bands has ``levels`` MinHash values; documents meet
+where a band's first values agree (one hash of them). How many is fixed by ``prefix_length`` before the data are seen:
+the most with which a pair at the threshold meets in some band with the target probability. So this is banding, 20 x 5
+at the default parameters, and not a forest that the data shorten; 9,996 of 10,000 pairs at exactly 0.8 meet, and more
+of the closer ones.
 
 1. Equal texts are one node (a digest); copies are never paired.
 2. Each shared prefix links its documents to the least of them (a star, not all pairs); connected components of the
