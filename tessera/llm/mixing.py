@@ -152,8 +152,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fits on at most ``sample`` labelled documents, those with the least hashes of their ids."""
+    """Fits on at most ``sample`` labelled documents of ``docs``, those with the least hashes of their ids."""
     known = labels.select(F.col("doc_id").alias("_id"), domain_of(labels).alias("_domain")).where("_id is not null and _domain is not null").dropDuplicates(["_id"])
+    known = known.join(docs.select(F.col(id_col).cast("long").alias("_id")), "_id", "left_semi")  # labels of other documents take no place
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     domain = {r["_id"]: r["_domain"] for r in known.collect()}
     if not domain:
