@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -39,12 +39,16 @@ def _remove_local(path: str) -> None:
 class Scratch:
     """Named tables that one operator call writes to the shared folder, which cuts lineage.
 
-    A written table survives the loss of any executor. ``drop`` frees one that is no longer read.
+    A written table survives the loss of any executor. ``drop`` frees one that is no longer read; what is left goes when
+    the application ends, as its result may be read until then.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        path, system = _located(spark, self.base)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -60,10 +64,28 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.path(name))
+
+
+def _located(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _located(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, system = _located(spark, path)
+    system.delete(at, True)
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns as one struct, ``row``, beside which an operator's own columns clash with none; ``row.*`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

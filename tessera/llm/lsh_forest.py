@@ -1,17 +1,18 @@
-"""N-gram Jaccard join by MinHash banding, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-A document's shingles are its runs of five words. Each of ``trees`` bands has ``levels`` MinHash values; documents meet
-where a band's first values agree (one hash of them). How many is fixed by ``prefix_length`` before the data are seen:
-the most with which a pair at the threshold meets in some band with the target probability. So this is banding, 20 x 5
-at the default parameters, and not a forest that the data shorten; 9,996 of 10,000 pairs at exactly 0.8 meet, and more
-of the closer ones.
+A document's shingles are its runs of five words. It has a label of ``levels`` MinHash values in each of ``trees`` tries.
 
 1. Equal texts are one node (a digest); copies are never paired.
-2. Each shared prefix links its documents to the least of them (a star, not all pairs); connected components of the
-   stars say which nodes must be compared.
-3. Each component's texts meet in one task and are compared all with all, exactly, by sparse products of their shingle
-   sets. A component of over ``block`` nodes is dealt over pairs of blocks. Only counts of links and a spanning
-   forest leave a task, so rows grow with nodes, not with pairs.
+2. The labels of all tries are sorted by range. Neighbours in that order share the longest prefixes, so one pass tells each
+   node how long a prefix it shares with any other in each trie; labels that share less than the floor are leaves alone.
+3. Nodes that share a prefix at the floor, the longest prefix at which even a pair at the threshold meets with the target
+   probability, are dealt by connected components. A component of over ``block`` nodes is cut into slices along the order of
+   the prefixes, and only slices that hold nodes that met are compared.
+4. In a job, nodes first meet where whole labels agree, and what meets is verified exactly. Then prefixes are shortened level
+   by level, for those nodes only that still fall short of the target recall (Bawa, Condie and Ganesan, 2005). A link of
+   similarity s is found at depth d with the chance 1 - (1 - s^d)^trees, so the links that a node has say how many it
+   lacks: each stands for (1 - chance) / chance more. A node without links is short until the floor. Sets are compared by
+   sparse products; counts of links and a spanning forest leave a task, so rows grow with nodes and not with pairs.
 
 Defined results: words are split at white space; texts of one to four words have a single shingle, all their words; null
 texts count as empty; texts without words link to no other text, but equal ones share a class; null ids never name a class
@@ -21,6 +22,7 @@ unless all its ids are null; rows that repeat are each answered; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -28,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, connected_components, map_arrow, shuffle_partitions
+from tessera.llm.common import Scratch, connected_components, map_arrow, row_of, shuffle_partitions
 
-WORDS, THRESHOLD, TREES, LEVELS, TARGET = 5, 0.8, 20, 6, 0.999
+WORDS, THRESHOLD, TREES, LEVELS, TARGET = 5, 0.8, 20, 7, 0.999
 #: Nodes that are sent to all executors at most, 48 bytes each; beyond that texts and nodes meet by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -40,8 +42,8 @@ def recall(similarity: float, trees: int, depth: int) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_length(trees: int, levels: int, threshold: float, target: float) -> int:
-    """The longest prefix that reaches the target at the threshold; a single level if none does."""
+def floor_depth(trees: int, levels: int, threshold: float, target: float) -> int:
+    """The longest prefix at which a pair at the threshold meets with the target probability; a single level if none does."""
     depth = levels
     while depth > 1 and recall(threshold, trees, depth) < target:
         depth -= 1
@@ -139,116 +141,223 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     return out
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold, by integers."""
+def similarities(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs reach the threshold, by integers, and all similarities."""
     t = Fraction(threshold).limit_denominator(10_000)
     size = np.array([len(s) for s in sets], np.int64)
     both = intersections(sets, left, right).astype(np.int64)
     union = size[left][:, None] + size[right][None, :] - both
-    return (both * t.denominator >= union * t.numerator) & (both > 0)
+    return (both * t.denominator >= union * t.numerator) & (both > 0), both / np.maximum(union, 1)
 
 
-def _verify(words: int, threshold: float):  # noqa: ANN202
-    """Texts in order of group to ``node, root, n_links``: the least node that it is connected with in the group."""
+# --- tries
 
-    def decide(side: list[int], nodes: list[bytes], sets: list[np.ndarray], cross: bool) -> Iterator[pa.RecordBatch]:
-        n = len(nodes)
-        left = np.flatnonzero(np.array(side) == 0) if cross else np.arange(n)
-        right = np.flatnonzero(np.array(side) == 1) if cross else np.arange(n)
+
+def shared_levels(labels: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """Levels that each of the sorted labels (a row of values each) shares with the next; none with that of another trie."""
+    same = (labels[1:] == labels[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    return np.cumprod(same, axis=1).sum(axis=1)
+
+
+def _neighbours(levels: int, least: int):  # noqa: ANN202
+    """Sorted labels to those that share at least ``least`` levels with a neighbour, and how many they share with the nearer.
+
+    The first and the last of a task may have neighbours in other tasks, and count as shared whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, levels
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            raw = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint16).reshape(-1, levels)
+            common = shared_levels(raw, table.column("tree").to_numpy())
+            longest = np.maximum(np.concatenate([[before], common[:-1]]), common) if len(common) else common
+            done = table.slice(0, len(table) - 1).append_column("longest", pa.array(longest, pa.int32()))
+            before = int(common[-1]) if len(common) else before
+            held = table.slice(len(table) - 1).to_batches()[0]
+            yield from done.filter(pa.array(longest >= least)).combine_chunks().to_batches()
+        if held is not None:
+            yield pa.Table.from_batches([held]).append_column("longest", pa.array([levels], pa.int32())).to_batches()[0]
+
+    return run
+
+
+def _slices(block: int):  # noqa: ANN202
+    """Nodes of large components in order to slices of ``block`` nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = (TaskContext.get() and TaskContext.get().partitionId()) or 0
+        at, n, serial = None, 0, task << 32
+        for batch in batches:
+            out = []
+            for component in batch.column("component").to_pylist():
+                if component != at or n == block:
+                    at, n, serial = component, 0, serial + 1
+                n += 1
+                out.append(serial)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(out, pa.int64())], ["node", "component", "slice"])
+
+    return run
+
+
+# --- verification
+
+
+def met(labels: np.ndarray, left: np.ndarray, right: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """Which pairs share a prefix of ``depth`` levels in a trie; ``labels`` has a row for each node."""
+    out = np.zeros((len(left), len(right)), bool)
+    levels = labels.shape[1] // trees
+    for t in range(trees):
+        own = np.ascontiguousarray(labels[:, t * levels : t * levels + depth]).view(f"V{2 * depth}").reshape(-1)
+        _, code = np.unique(own, return_inverse=True)
+        out |= code[left][:, None] == code[right][None, :]
+    return out
+
+
+def shorten(labels: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, trees: int, levels: int, least: int, target: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between the ``left`` and the ``right`` nodes, how many more each node's links stand for, and the depth that it came to.
+
+    Prefixes are shortened from ``levels`` to ``least`` for the nodes that fall short of the target recall.
+    """
+    n = len(sets)
+    linked, known = np.zeros((2, len(left), len(right)), bool)
+    similarity = np.zeros((len(left), len(right)))
+    short, lacking, depth_of = np.ones(n, bool), np.zeros(n), np.full(n, levels)
+    for depth in range(levels, least - 1, -1):
+        depth_of[short] = depth
+        want = met(labels, left, right, trees, depth) & ~known & (short[left][:, None] | short[right][None, :])
+        want &= left[:, None] != right[None, :]
+        i, j = np.flatnonzero(want.any(axis=1)), np.flatnonzero(want.any(axis=0))
+        if len(i):
+            involved = np.union1d(left[i], right[j])
+            reach, near = similarities([sets[k] for k in involved], np.searchsorted(involved, left[i]), np.searchsorted(involved, right[j]), threshold)
+            at = np.ix_(i, j)
+            linked[at] |= reach & want[at]
+            similarity[at] = np.where(want[at], near, similarity[at])
+            known |= want
+        a, b = np.nonzero(linked)
+        chance = recall(similarity[a, b], trees, depth)
+        more = (1 - chance) / np.maximum(chance, 1e-12)
+        links = np.bincount(left[a], minlength=n) + np.bincount(right[b], minlength=n)
+        lacking = np.bincount(left[a], more, n) + np.bincount(right[b], more, n)
+        short = (links == 0) | (lacking > (1 - target) * (links + lacking))
+        if not short.any():
+            break
+    return linked, lacking, depth_of
+
+
+def _verify(words: int, threshold: float, trees: int, levels: int, least: int, target: float):  # noqa: ANN202
+    """Texts in order of job to ``node, root, n_links, lacking, depth``: the least node that it is connected with in the job, its
+    links there, how many more they stand for, and the prefix that they took."""
+
+    def decide(rows: list[dict], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        n, cross = len(rows), rows[0]["i"] != rows[0]["j"]
+        side = np.array([r["slice"] == r["j"] for r in rows])
+        left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if cross else (np.arange(n), np.arange(n))
         if n < 2 or not len(left) or not len(right):
             return
-        hit = links(sets, left, right, threshold)
-        if not cross:
-            np.fill_diagonal(hit, False)
-        degree = np.zeros(n, np.int64)
-        degree[left] += hit.sum(axis=1)
-        if cross:
-            degree[right] += hit.sum(axis=0)
-        root = np.full(n, -1)
-        i_of, j_of = np.nonzero(hit)
-        rows = np.split(right[j_of], np.cumsum(np.bincount(i_of, minlength=len(left)))[:-1])
-        back = np.split(left[np.nonzero(hit.T)[1]], np.cumsum(np.bincount(j_of, minlength=len(right)))[:-1]) if cross else rows
-        at_left = {int(v): k for k, v in enumerate(left)}
-        at_right = {int(v): k for k, v in enumerate(right)}
-        for s in sorted(range(n), key=lambda i: nodes[i]):
-            if root[s] >= 0 or not degree[s]:
-                continue
-            root[s], todo = s, [s]
-            while todo:
-                x = todo.pop()
-                for y in [*(rows[at_left[x]] if x in at_left else ()), *(back[at_right[x]] if cross and x in at_right else ())]:
-                    if root[y] < 0:
-                        root[y] = s
-                        todo.append(int(y))
+        labels = np.stack([np.frombuffer(r["labels"], "<u2") for r in rows])
+        hit, lacking, depth = shorten(labels, sets, left, right, threshold, trees, levels, least, target)
+        a, b = np.nonzero(hit)
+        if not len(a):
+            return
+        a, b = left[a], right[b]
+        degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        if not cross:  # each link was counted from both ends
+            degree, lacking = degree // 2, lacking / 2
+        nodes = [r["node"] for r in rows]
+        by_rank = sorted(range(n), key=nodes.__getitem__)
+        root = np.empty(n, np.int64)
+        root[by_rank] = np.arange(n)
+        while True:  # ranks are lowered along links
+            lower = root.copy()
+            np.minimum.at(lower, a, root[b])
+            np.minimum.at(lower, b, root[a])
+            if (lower == root).all():
+                break
+            root = lower
         own = np.flatnonzero(degree)
-        if len(own):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in own], pa.binary()), pa.array([nodes[root[i]] for i in own], pa.binary()), pa.array(degree[own], pa.int64())], ["node", "root", "n_links"]
-            )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([nodes[i] for i in own], pa.binary()), pa.array([nodes[by_rank[root[i]]] for i in own], pa.binary()), pa.array(degree[own], pa.int64()), pa.array(lacking[own], pa.float64()), pa.array(depth[own], pa.int32())],
+            ["node", "root", "n_links", "lacking", "depth"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        at, side, nodes, sets = None, [], [], []
+        at, rows, sets = None, [], []
         for batch in batches:
-            for component, i, j, b, node, text in zip(*(batch.column(c) for c in ("component", "i", "j", "b", "node", "text")), strict=True):
-                key = (component.as_py(), i.as_py(), j.as_py())
+            for row in batch.to_pylist():
+                key = (row["component"], row["i"], row["j"])
                 if key != at:
-                    if at:
-                        yield from decide(side, nodes, sets, at[1] != at[2])
-                    at, side, nodes, sets = key, [], [], []
-                side.append(int(b.as_py() != key[1]))
-                nodes.append(node.as_py())
-                sets.append(shingles(text.as_py()))
-        if at:
-            yield from decide(side, nodes, sets, at[1] != at[2])
+                    if rows:
+                        yield from decide(rows, sets)
+                    at, rows, sets = key, [], []
+                sets.append(shingles(row.pop("text")))
+                rows.append(row)
+        if rows:
+            yield from decide(rows, sets)
 
     return run
 
 
-def similar(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS,
-    target: float = TARGET, block: int = 1024, broadcast_nodes: int = BROADCAST_NODES, seed: int = 1,
-) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies, node, class_node``.
+# --- the join
 
-    ``class_id`` is the least id among all documents that links connect, ``n_links`` the number of different other texts
-    at or above the threshold, ``n_copies`` the number of rows with this very text; nodes are digests of texts.
-    """
+
+@dataclass(frozen=True)
+class Joined:
+    """``rows`` as of ``similar``; ``links`` are those found of each node and job, with the depth that it took and how many more they
+    stand for."""
+
+    rows: DataFrame
+    links: DataFrame
+
+    def recall(self) -> float:
+        """The share of links that was found, as the links found tell; 1 without any."""
+        found, lacking = self.links.agg(F.sum("n_links"), F.sum("lacking")).first()
+        return found / (found + lacking) if found else 1.0
+
+    def depths(self) -> dict[int, int]:
+        """How many nodes with links stopped at each depth."""
+        return {r.depth: r["count"] for r in self.links.groupBy("depth").count().collect()}
+
+
+def join(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS,
+    target: float = TARGET, least: int | None = None, block: int = 1024, broadcast_nodes: int = BROADCAST_NODES, seed: int = 1,
+) -> Joined:
+    """The join and what it found on its way. ``least`` is the shortest prefix, by default ``floor_depth``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "forest")
     parts = shuffle_partitions(spark)
-    depth = prefix_length(trees, levels, threshold, target)
+    least = least or floor_depth(trees, levels, threshold, target)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), node_of(text_col).alias("node"))
     signed = scratch.save(map_arrow(rows, _sign(words, trees, levels, seed), "doc_id long, node binary, labels binary"), "signed")
 
-    # documents by trie and prefix; each shared prefix is a star around its least node
-    prefix = lambda t: F.xxhash64(t, F.substring(F.col("labels"), t * (2 * levels) + 1, F.lit(2 * depth)))
-    met = signed.where("labels is not null").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), prefix)).alias("prefix"))
-    shared = met.groupBy("prefix").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("prefix", "head")
-    stars = met.join(scratch.save(shared, "shared"), "prefix").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    components = scratch.save(connected_components(scratch, stars, "meet"), "components")
-
-    # texts of nodes that meet others, by component, or by pair of blocks of a large one
-    # blocks of at most ``block`` nodes; a smaller component is dealt over up to eight, so that its pairs of blocks spread
-    wide = F.greatest(F.ceil(F.col("count") / block), F.least(F.lit(8), F.ceil(F.col("count") / min(block, 128))))
-    many = components.groupBy("component").count().where(F.col("count") > min(block, 128)).select("component", wide.cast("int").alias("blocks"))
-    many = scratch.save(many, "many")
-    large = bool(many.take(1))
-    dealt = components.join(many, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = scratch.save(dealt, "dealt")
-    n_nodes = dealt.count()
+    # the tries: labels of all, sorted by range, so that no prefix is too frequent for a task
+    leaves = scratch.save(signed.where("labels is not null").select("node", "labels").distinct(), "leaves")
+    label = F.substring("labels", F.col("tree") * (2 * levels) + 1, F.lit(2 * levels))
+    tries = leaves.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", label.alias("label"), "node")
+    tries = tries.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    shared = scratch.save(map_arrow(tries, _neighbours(levels, least), "tree int, label binary, node binary, longest int"), "shared")
+
+    # nodes that share a prefix at the floor: each is a star around the least of them
+    here = shared.select("node", F.xxhash64("tree", F.substring("label", 1, 2 * least)).alias("prefix"))
+    heads = here.groupBy("prefix").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("prefix", "head")
+    here = scratch.save(here.join(heads, "prefix"), "here")
+    components = scratch.save(connected_components(scratch, here.select(F.col("node").alias("a"), F.col("head").alias("b")), "meet"), "components")
+    jobs = scratch.save(_jobs(scratch, here, components, block, parts), "jobs")
     texts = docs.select(node_of(text_col).alias("node"), F.col(text_col).alias("text"))
-    if n_nodes <= broadcast_nodes:
-        texts = texts.join(F.broadcast(dealt.select("node")), "node", "left_semi")
-    texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(dealt, "node")
-    pairs = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "text"
-    )
-    pairs = pairs.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    linked = scratch.save(map_arrow(pairs, _verify(words, threshold), "node binary, root binary, n_links long"), "linked")
+    if components.count() <= broadcast_nodes:
+        texts = texts.join(F.broadcast(components.select("node")), "node", "left_semi")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(jobs, "node").join(leaves, "node")
+    texts = texts.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    linked = scratch.save(map_arrow(texts, _verify(words, threshold, trees, levels, least, target), "node binary, root binary, n_links long, lacking double, depth int"), "linked")
     degrees = linked.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("root"))
-    if large:  # blocks of one component each have a forest of their own
+    if jobs.where("large").take(1):  # slices of one component each have a forest of their own
         joined = connected_components(scratch, linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
         degrees = degrees.drop("root").join(joined.select("node", F.col("component").alias("root")), "node")
     degrees = scratch.save(degrees, "degrees")
@@ -258,16 +367,47 @@ def similar(
     classes = known.where("root is not null").groupBy("root").agg(F.min("least").alias("class_least"))
     joined = known.where("root is not null").join(classes, "root").select("node", "n_copies", "n_links", F.col("root").alias("class_node"), F.col("class_least").alias("class_id"))
     alone = known.where("root is null").select("node", "n_copies", F.lit(0).cast("long").alias("n_links"), F.col("node").alias("class_node"), F.col("least").alias("class_id"))
-    known = joined.union(alone)
-    known = scratch.save(known, "answers")
-    return signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies", "node", "class_node")
+    known = scratch.save(joined.union(alone), "answers")
+    scratch.drop("leaves", "shared", "here", "components", "jobs", "degrees", "known")
+    return Joined(signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies", "node", "class_node"), linked)
+
+
+def _jobs(scratch: Scratch, here: DataFrame, components: DataFrame, block: int, parts: int) -> DataFrame:
+    """``node, component, large, slice, i, j``: a row for each job that compares the node, slices ``i`` and ``j`` of its component."""
+    sizes = scratch.save(components.groupBy("component").count(), "sizes")
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    block = min(block, max(64, -(-total // (4 * parts))))  # about four slices a task, of so many nodes at most
+    many = scratch.save(sizes.where(F.col("count") > block).select("component", F.lit(True).alias("large")), "many")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("slice", "i", "j")]
+    if not many.take(1):
+        return components.select("node", "component", F.lit(False).alias("large"), *zero)
+    nodes = scratch.save(components.join(many, "component", "left").fillna(False, ["large"]), "nodes")
+    # in a large component nodes with the same least prefix lie together; a slice is a run of them
+    own = here.join(nodes.where("large").select("node"), "node", "left_semi")
+    keyed = nodes.where("large").join(own.groupBy("node").agg(F.min("prefix").alias("key")), "node")
+    ordered = keyed.repartitionByRange(parts, "component", "key", "node").sortWithinPartitions("component", "key", "node").select("node", "component")
+    slices = scratch.save(map_arrow(ordered, _slices(block), "node binary, component binary, slice long"), "slices")
+    spans = scratch.save(own.select("node", "prefix").join(slices.select("node", "slice"), "node").select("prefix", "slice").distinct(), "spans")
+    meet = scratch.save(spans.join(spans.withColumnRenamed("slice", "other"), "prefix").where("slice < other").select("slice", "other").distinct(), "meet")
+    i, j = F.col("slice").alias("i"), F.col("other").alias("j")
+    pairs = meet.select("slice", i, j).union(meet.select(F.col("other").alias("slice"), i, j)).union(slices.select("slice", i, F.col("slice").alias("j")).distinct())
+    large = slices.join(pairs, "slice").select("node", "component", F.lit(True).alias("large"), "slice", "i", "j")
+    return nodes.where("not large").select("node", "component", "large", *zero).union(large)
+
+
+def similar(docs: DataFrame, **options: object) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies, node, class_node``; options as of ``join``.
+
+    ``class_id`` is the least id among all documents that links connect, ``n_links`` the number of different other texts
+    at or above the threshold, ``n_copies`` the number of rows with this very text; nodes are digests of texts.
+    """
+    return join(docs, **options).rows
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of ``docs`` with the least id of each class, one per class, with all their columns."""
     found = similar(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <=> class_id")
-    one = Window.partitionBy("class_node").orderBy("node")
-    found = found.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    rows = docs.withColumn("_node", node_of(text_col)).withColumn("_id", F.col(id_col).cast("long"))
-    kept = rows.join(found, rows["_node"].eqNullSafe(found["_node"]) & rows["_id"].eqNullSafe(found["_id"]), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("_node", "_id").orderBy(F.lit(1)))).where("_n = 1").select(docs.columns)
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("class_node").orderBy("node"))).where("n = 1").select("doc_id", "node")
+    rows = docs.select(row_of(docs), node_of(text_col).alias("node"), F.col(id_col).cast("long").alias("doc_id"))
+    kept = rows.join(found, rows["node"].eqNullSafe(found["node"]) & rows["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("node", "doc_id").orderBy(F.lit(1)))).where("n = 1").select("row.*")

@@ -68,8 +68,66 @@ def test_empty_table(spark):
     assert lf.similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_prefix_is_shortened_until_the_target():
-    assert lf.prefix_length(20, 6, 0.8, 0.999) == 5
-    assert lf.prefix_length(20, 6, 0.8, 0.99) == 6
-    assert lf.prefix_length(2, 6, 0.8, 0.999) == 1
+def test_floor_is_where_the_target_is_met():
+    assert lf.floor_depth(20, 6, 0.8, 0.999) == 5
+    assert lf.floor_depth(20, 6, 0.8, 0.99) == 6
+    assert lf.floor_depth(2, 6, 0.8, 0.999) == 1
     assert lf.recall(0.8, 20, 5) > 0.9995
+
+
+def test_sorted_labels_tell_the_longest_shared_prefixes():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    rows = sorted((t, bytes(b for _ in range(4) for b in (rnd.randrange(2), 0)), bytes([i])) for t in range(2) for i in range(60))
+    want = {}
+    for t, label, node in rows:
+        common = [next((k for k in range(4) if label[2 * k] != x[2 * k]), 4) for u, x, other in rows if u == t and other != node]
+        want[t, node] = max(common)
+    table = pa.table({"tree": pa.array([r[0] for r in rows], pa.int32()), "label": [r[1] for r in rows], "node": [r[2] for r in rows]})
+    made = pa.Table.from_batches(list(lf._neighbours(4, 0)(iter(table.to_batches(max_chunksize=7))))).to_pylist()
+    assert [(r["tree"], r["label"], r["node"]) for r in made] == rows
+    inner = made[1:-1]  # the ends count as shared, as they may have neighbours in other tasks
+    assert [r["longest"] for r in inner] == [want[r["tree"], r["node"]] for r in inner]
+    assert made[0]["longest"] == made[-1]["longest"] == 4
+    assert np.array_equal(lf.shared_levels(np.array([[1, 2], [1, 2], [1, 3], [1, 3]], np.uint16), np.array([0, 0, 0, 1])), [2, 1, 0])
+
+
+def pairs_of(n, seed=11):
+    """Pairs of documents that share a little over eight tenths of their shingles, and close ones."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(n):
+        base = [word() for _ in range(120)]
+        other = list(base)
+        for k in range(2 if i % 2 else 1):
+            other[20 + 50 * k] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    return rows
+
+
+def test_shortening_finds_what_whole_labels_miss(spark):
+    docs = spark.createDataFrame(pairs_of(60), "doc_id long, text string")
+    whole = lf.join(docs, trees=6, levels=8, least=8)
+    linked = lambda j: sum(r.n_links for r in j.rows.select("n_links").collect())
+    found = lf.join(docs, trees=6, levels=8)
+    assert linked(found) == 120 > linked(whole)  # without shortening links are lost
+    assert found.recall() >= 0.999 > whole.recall()
+    depths = found.depths()
+    assert len(depths) > 1 and min(depths) < 8  # nodes stop at depths of their own
+    assert min(depths) >= lf.floor_depth(6, 8, 0.8, 0.999)
+
+
+def test_large_component_only_compares_slices_that_met(spark):
+    """A chain of documents, each near the next only, is one component; most of its slices never meet."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    words, rows = [word() for _ in range(200)], []
+    for i in range(120):
+        rows.append((i, " ".join(words)))
+        words = [*words[4:], *(word() for _ in range(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = lf.join(docs, block=8)
+    assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in made.rows.collect()], key=str) == brute(rows)
