@@ -2,7 +2,8 @@
 
 A suffix's longest previous factor (LPF) is the longest prefix that it shares with a suffix of an earlier document. In
 suffix order the best earlier matches are the previous and the next suffix whose document is smaller. All that matters
-is whether the LPF reaches ``length`` bytes, so suffixes are ordered by their first ``length`` bytes.
+is whether the LPF reaches ``length`` bytes, so suffixes are ordered by their first ``length`` bytes, and factors are
+measured up to it, byte by byte.
 
 1. Blocks of documents are written compressed. Each ``length``-byte window has a minimizer: the ``gram``-byte string in
    it with the least hash. Blocks send their distinct minimizers, packed by hash part; each part says which of them
@@ -10,8 +11,8 @@ is whether the LPF reaches ``length`` bytes, so suffixes are ordered by their fi
 2. Blocks send the stretches ("runs") of windows whose minimizer is shared, grouped by the minimizer's part. Of runs
    with equal bytes only those of the smallest document of the block leave it. A minimizer that very many documents
    have is sent by window rather than by run, dealt by the window's own hash, so no part gathers it.
-3. Each part sorts its suffixes, computes the LPF test from the previous and next smaller documents, and returns
-   the intervals to remove to their blocks.
+3. Each part sorts its suffixes, finds the previous and next smaller documents, measures the LPF, and returns the
+   intervals to remove to their blocks. There are as many parts as the input's bytes need.
 
 Defined results: a null text is empty; matches are of bytes, never cross documents and are judged on the input; a
 string that repeats only within its own document, or in rows of the same id, stays; texts shorter than ``length``
@@ -32,8 +33,8 @@ from tessera.llm.common import Scratch, map_arrow, shuffle_partitions
 
 LENGTH, GRAM = 50, 20
 NO_ID = np.iinfo(np.int64).min
-BLOCK = "block long, n int, body binary"
-BLOCK_TYPES = [pa.int64(), pa.int32(), pa.binary()]
+BLOCK = "block long, n int, raw long, body binary"
+BLOCK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 PART = "part int, block long, n int, body binary"
 PART_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -73,7 +74,7 @@ def _blocks(block_bytes: int):  # noqa: ANN202
         def flush() -> pa.RecordBatch:
             nonlocal serial, held, ids, texts
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            out = _batch([((task << 32) | serial, len(ids), _pack(np.array([NO_ID if i is None else i for i in ids], np.int64), sizes, b"".join(texts), level=3))], BLOCK, BLOCK_TYPES)
+            out = _batch([((task << 32) | serial, len(ids), int(sizes.sum()), _pack(np.array([NO_ID if i is None else i for i in ids], np.int64), sizes, b"".join(texts), level=3))], BLOCK, BLOCK_TYPES)
             serial, held, ids, texts = serial + 1, 0, [], []
             return out
 
@@ -263,21 +264,48 @@ def _slices(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     return text[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)]
 
 
+def word_at(views: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a number, the first byte highest."""
+    return views[at].view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _views(text: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
+
+
+def _edges(size: np.ndarray, length: int) -> Iterator[np.ndarray | int]:
+    """Offsets of eight-byte words that cover the first and the last ``length`` bytes of runs, hence all of a run."""
+    for k in range(0, length - 8, 8):
+        yield k
+        yield size - length + k
+    yield length - 8
+    yield size - 8
+
+
 def _groups(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc_id: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of equal bytes: their order by content, then document, and where each group begins in it.
 
-    Runs have under twice ``length`` bytes, so their size and the strings at both ends, hashed with 128 bits, tell them apart.
+    Runs have under twice ``length`` bytes. They are ordered by their size and 128 bits of hashes of their bytes, and
+    neighbours are equal where their bytes are.
     """
-    keys = [doc_id]
+    views = _views(text)
+    keys = [size.astype(np.uint64) * np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
     with np.errstate(over="ignore"):
-        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            h = hash_at(text, first, length, base)
-            keys.append(_mix(h * np.uint64(0xFF51AFD7ED558CCD) + hash_at(text, first + size - length, length, base) + size.astype(np.uint64)))
-    order = np.lexsort(keys)
+        for off in _edges(size, length):
+            word = word_at(views, first + off)
+            keys[0] = _mix((keys[0] ^ word) * np.uint64(0xFF51AFD7ED558CCD))
+            keys[1] = (keys[1] + word) * np.uint64(0xC4CEB9FE1A85EC53)
+            keys[1] ^= keys[1] >> np.uint64(31)
+    order = np.lexsort((doc_id, *keys))
     head = np.ones(len(order), bool)
-    head[1:] = False
-    for k in keys[1:]:
-        head[1:] |= k[order][1:] != k[order][:-1]
+    same = (keys[0][order][1:] == keys[0][order][:-1]) & (size[order][1:] == size[order][:-1])
+    at = np.flatnonzero(same)
+    if len(at):
+        a, b = order[at], order[at + 1]
+        equal = np.ones(len(at), bool)
+        for off, other in zip(_edges(size[a], length), _edges(size[b], length), strict=True):
+            equal &= word_at(views, first[a] + off) == word_at(views, first[b] + other)
+        head[at[equal] + 1] = False
     return order, head
 
 
@@ -344,51 +372,75 @@ def _send_runs(length: int, gram: int, parts: int):  # noqa: ANN202
 # --- step 3: suffix order, longest previous factors
 
 
-def suffix_order(text: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at ``at`` by their first ``length`` bytes, then document; and whether each reaches
-    ``length`` bytes in common with the one before it."""
-    words = -(-length // 8)
-    keys = []
-    wide = np.concatenate([text, np.zeros(8, np.uint8)])
-    views = np.lib.stride_tricks.sliding_window_view(wide, 8)
-    for k in range(words):
-        key = views[at + 8 * k].copy().view(">u8").reshape(-1).astype(np.uint64)
-        spare = 8 * (k + 1) - length
-        keys.append(key >> np.uint64(8 * spare) if spare > 0 else key)
-    order = np.lexsort((doc, *keys[::-1]))
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = True
-        for key in keys:
-            k = key[order]
-            same[1:] &= k[1:] == k[:-1]
-    return order, same
-
-
-def has_previous_factor(order: np.ndarray, same: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each suffix's LPF reaches the length.
-
-    The LPF is the longer of the common prefixes with the previous and with the next suffix in order whose document is
-    smaller. A common prefix reaches the length exactly within a run of ``same``; documents rise within a run, so the
-    previous smaller one is in the run if the run's first document is smaller, and the next smaller one never is.
+def suffix_order(text: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Order of the suffixes at ``at`` by their first ``length`` bytes, then by document."""
+    views = _views(text)
+    keys = [word_at(views, at + k) for k in (*range(0, length - 8, 8), length - 8)]
+    return np.lexsort((doc, *keys[::-1]))
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with a smaller value, -1 if there is none.
+
+    Places point to the one before, and follow the pointers of those whose value is not smaller, all at once; whatever lies
+    between a place and its pointer is not smaller than it.
     """
-    run = np.cumsum(~same) - 1
-    heads = np.flatnonzero(~same)
-    sorted_doc = doc[order]
-    out = np.empty(len(order), bool)
-    out[order] = sorted_doc[heads][run] < sorted_doc if len(order) else False
+    found = np.arange(-1, len(values) - 1)
+    todo = np.flatnonzero((found >= 0) & (values[found] >= values))
+    while len(todo):
+        found[todo] = found[found[todo]]
+        todo = todo[(found[todo] >= 0) & (values[found[todo]] >= values[todo])]
+    return found
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes at ``a`` and ``b`` have in common, ``length`` at most."""
+    views = _views(text)
+    out = np.zeros(len(a), np.int64)
+    left = np.arange(len(a))
+    for k in range(0, length, 8):
+        off = min(k, length - 8)  # the last word overlaps the one before it
+        x = views[a[left] + off] == views[b[left] + off]
+        whole = x.all(axis=1)
+        out[left] = off + np.where(whole, 8, x.argmin(axis=1))
+        left = left[whole]
+        if not len(left):
+            break
+    return out
+
+
+def longest_previous_factors(text: np.ndarray, at: np.ndarray, doc: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Of each suffix, the longest prefix (``length`` bytes at most) that it shares with a suffix of a smaller document.
+
+    It is shared with the previous or the next suffix in ``order`` whose document is smaller, as common prefixes only shorten
+    with the distance in the order.
+    """
+    out = np.zeros(len(order), np.int64)
+    ranked = doc[order]
+    place = at[order]
+    for flip in (False, True):
+        found = nearest_smaller(ranked[::-1] if flip else ranked)
+        found = np.where(found >= 0, len(order) - 1 - found, -1)[::-1] if flip else found
+        has = np.flatnonzero(found >= 0)
+        has = has[out[order[has]] < length]
+        own = order[has]
+        out[own] = np.maximum(out[own], common_prefix(text, place[has], place[found[has]], length))
     return out
 
 
 def lpf_reaches(text: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int, piece: int = 1_000_000) -> np.ndarray:
-    """``has_previous_factor`` of all suffixes, a range of the suffix order at a time, cut by the first two bytes."""
+    """Which suffixes have a longest previous factor of ``length`` bytes, a range of the suffix order at a time.
+
+    Ranges are cut by the first two bytes, which a factor of two bytes or more shares.
+    """
     two = text[at].astype(np.int64) << 8 | text[at + 1]
     chunk = np.cumsum(np.bincount(two, minlength=1 << 16)) // piece
     chunk = chunk[two]
     out = np.empty(len(at), bool)
     for c in np.unique(chunk):
         own = np.flatnonzero(chunk == c)
-        out[own] = has_previous_factor(*suffix_order(text, at[own], doc[own], length), doc[own])
+        order = suffix_order(text, at[own], doc[own], length)
+        out[own] = longest_previous_factors(text, at[own], doc[own], order, length) >= length
     return out
 
 
@@ -496,17 +548,20 @@ def _finish(with_text: bool):  # noqa: ANN202
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block_bytes: int | None = None, hot: int = 20_000, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block_bytes: int | None = None, hot: int = 20_000, part_bytes: int = 32 << 20, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes, null unless ``with_text``).
 
     Without ``block_bytes``, blocks grow with the number of parts, so that what a block sends to a part stays worth a row.
     """
+    if not 8 <= gram <= length:
+        raise ValueError("a gram has 8 bytes at least and the length at most")
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    parts = shuffle_partitions(spark)
-    block_bytes = block_bytes or min(max(4 << 20, 2048 * parts), 256 << 20)
+    least = shuffle_partitions(spark)
+    block_bytes = block_bytes or min(max(4 << 20, 2048 * least), 256 << 20)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = scratch.save(map_arrow(rows, _blocks(block_bytes), BLOCK), "blocks")
+    parts = max(least, -(-(blocks.agg(F.sum("raw")).first()[0] or 0) // part_bytes))  # a part holds no more than its share of the input
     sent = map_arrow(blocks, _send_minimizers(length, gram, parts), PART).repartition(parts, "part").sortWithinPartitions("part")
     flags = scratch.save(map_arrow(sent, _share(hot), PART), "flags")
     per_block = flags.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("flags"))

@@ -80,14 +80,64 @@ def test_rolling_hash_and_runs():
     assert [w for w, _, _ in spread(whole)] == [*range(0, 51), *range(100, 2951), *range(3000, 4951)]
 
 
-def test_suffix_order_is_lexicographic():
+def test_suffix_order_and_longest_previous_factors():
     rnd = np.random.default_rng(1)
     text = rnd.integers(0, 2, 400).astype(np.uint8)
     at = np.arange(0, 350)
     doc = rnd.integers(0, 5, 350)
-    order, same = sd.suffix_order(text, at, doc, 50)
+    order = sd.suffix_order(text, at, doc, 50)
     keys = [(text[i : i + 50].tobytes(), int(doc[i])) for i in at]
     assert [keys[i] for i in order] == sorted(keys)
-    assert same.tolist() == [False] + [keys[a][0] == keys[b][0] for a, b in zip(order, order[1:], strict=False)]
-    want = [any(k[0] == keys[i][0] and k[1] < keys[i][1] for k in keys) for i in range(350)]
-    assert sd.lpf_reaches(text, at, doc, 50, piece=10).tolist() == want
+
+    def common(a, b):
+        return next((k for k in range(50) if a[k] != b[k]), 50)
+
+    want = [max([common(x[0], k[0]) for k in keys if k[1] < x[1]], default=0) for x in keys]
+    assert sd.longest_previous_factors(text, at, doc, order, 50).tolist() == want
+    assert sd.lpf_reaches(text, at, doc, 12, piece=10).tolist() == [w >= 12 for w in want]
+
+
+def test_nearest_smaller():
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 7, 500):
+        for values in (rnd.integers(0, 9, n), np.arange(n), np.arange(n)[::-1], np.zeros(n, int)):
+            want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
+            assert sd.nearest_smaller(values).tolist() == want
+
+
+def test_groups_compare_bytes_not_hashes(monkeypatch):
+    monkeypatch.setattr(sd, "_mix", lambda h: np.zeros_like(h))  # hashes that tell nothing apart by themselves
+    text = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60 + b"a" * 59 + b"c", np.uint8)
+    first, size = np.array([0, 60, 120, 180]), np.full(4, 60)
+    order, head = sd._groups(text, first, size, np.array([3, 1, 2, 0]), 50)
+    groups = []
+    for i, h in zip(order, head, strict=True):
+        if h:
+            groups.append(set())
+        groups[-1].add(int(i))
+    assert {frozenset(g) for g in groups} == {frozenset({0, 2}), frozenset({1}), frozenset({3})}
+
+
+def test_nothing_goes_without_the_factors(spark, monkeypatch):
+    """Passages at other places of their runs are only found by their previous factors, which tasks compute from this module's functions."""
+    rows = [(1, "x" * 7 + "".join(chr(97 + i * 7 % 26) for i in range(200))), (2, "yz" + "".join(chr(97 + i * 7 % 26) for i in range(3, 160)) + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in sd.dedup(docs).collect()} == {1: 0, 2: 157}
+    text = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    at = np.concatenate([np.arange(0, 158), np.arange(207, 207 + 113)])
+    doc = np.repeat([1, 2], [158, 113])
+    assert sd.lpf_reaches(text, at, doc, 50).sum() == 157 - 49
+    monkeypatch.setattr(sd, "nearest_smaller", lambda values: np.full(len(values), -1))
+    assert sd.lpf_reaches(text, at, doc, 50).sum() == 0
+
+
+def test_parts_follow_the_bytes(spark):
+    rows = corpus(1, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.dedup(docs, block_bytes=600, part_bytes=500).collect()]
+    assert sorted(made, key=str) == brute(rows)
+
+
+def test_short_lengths_are_refused(spark):
+    with pytest.raises(ValueError, match="gram"):
+        sd.dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=7)
