@@ -38,7 +38,9 @@ def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    decided = exact_dedup.dedup(docs, fresh_index(spark))
+    index = fresh_index(spark)
+    decided = exact_dedup.dedup(docs, index)
+    index.remove(files=True)  # what is decided no longer reads it
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex(exact_dedup.DIGEST)).alias("text_sha256"))
 
 
