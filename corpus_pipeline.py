@@ -19,7 +19,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
-    return exact_dedup.keep_first(docs, fresh_index(spark))
+    index = fresh_index(spark)
+    kept = exact_dedup.keep_first(docs, index)
+    index.remove(files=True)  # what is decided no longer reads it
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
