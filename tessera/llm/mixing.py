@@ -2,21 +2,23 @@
 
 1. A softmax classifier, fitted on a bounded sample of labelled documents, predicts each document's posterior over domains
    from hashed words and a few ratios.
-2. Document rates r >= 0 are fitted so that the expected tokens of each domain, ``sum_d r_d tokens_d p_d``, match the
-   targets, by least squares. Projected gradient descent from r = 1 takes each step in the metric of the documents'
-   tokens, so a rate depends on the posterior and not on the length: ``r <- max(0, r - p . step)``, where the step is the
-   residual over the Gram matrix (domains by domains) of the documents that still have a rate; it is halved
-   while it would not lower the residual. One pass over the documents gathers the sums of a step; the driver keeps
-   only the steps so far, from which every document recomputes its own rate.
+2. Document rates are fitted so that the expected tokens of each domain, ``sum_d r_d tokens_d p_d``, match the targets, by
+   least squares over the domains, each weighed by its present tokens. A rate is at least 0, and at least 1 where the likeliest
+   domain is protected, so that no such document goes. Projected gradient descent with momentum starts at r = 1 and takes
+   gradients in the metric of the documents' tokens, so a rate depends on the posterior and not on the length:
+   ``r <- max(bound, r - eta p . residual / tokens)``. One pass over the documents gathers the sums of a step; the driver
+   keeps only the last steps, from which every document recomputes its own rate; every few steps rates are written.
 3. ``mix`` realises a rate as whole copies: its floor, and one more with the chance of the rest, drawn from a hash of id
-   and text. A document whose likeliest domain is protected keeps at least one copy.
+   and text.
 
-Targets: ``weights`` are shares of tokens. Without a ``budget`` the total is the least at which no protected domain
-shrinks, so clean documents are repeated rather than dropped.
+Targets: ``weights`` are shares of tokens. Without a ``budget`` the total is fitted with the rates: it starts as the least that
+holds what the bounds keep, and grows, to ``growth`` times the input at most, where the shares cannot be met else. ``Fit`` tells
+the targets and what was reached, which differ where documents that meet the targets are not there.
 
 Defined results: null texts count as empty and have no tokens; labels with nulls, or of documents that are absent, are not
-used; without usable labels every posterior is uniform; domains without weight have the target 0; rows that repeat get equal
-rates; null ids pass through; an empty table gives no rows. Other columns are not read (``mix`` keeps all).
+used; of labels that conflict the worse stands (toxic, then low), and of texts with one id the least is learned from; without
+usable labels every posterior is uniform; domains without weight have the target 0; rows that repeat get equal rates; null
+ids pass through; an empty table gives no rows. Other columns are not read (``mix`` keeps all).
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, map_arrow
+from tessera.llm.common import Scratch, map_arrow, row_of
 
 DOMAINS = ("clean", "low", "toxic")
-WEIGHTS = {"clean": 0.92, "low": 0.07, "toxic": 0.01}
+WEIGHTS = {"clean": 0.85, "low": 0.11, "toxic": 0.04}
 PROTECTED = ("clean", "low")
 DIMENSIONS = 1 << 18
 DENSE = 6
@@ -153,16 +155,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Fits on at most ``sample`` labelled documents of ``docs``, those with the least hashes of their ids."""
-    known = labels.select(F.col("doc_id").alias("_id"), domain_of(labels).alias("_domain")).where("_id is not null and _domain is not null").dropDuplicates(["_id"])
-    known = known.join(docs.select(F.col(id_col).cast("long").alias("_id")), "_id", "left_semi")  # labels of other documents take no place
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    domain = {r["_id"]: r["_domain"] for r in known.collect()}
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), domain_of(labels).alias("domain")).where("id is not null and domain is not null")
+    known = known.groupBy("id").agg(F.max("domain").alias("domain"))
+    known = known.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")  # labels of other documents take no place
+    domain = {r["id"]: r["domain"] for r in known.orderBy(F.xxhash64("id"), "id").limit(sample).collect()}
     if not domain:
         return fit([], len(DOMAINS))
-    ids = docs.sparkSession.createDataFrame([(i,) for i in domain], "_id long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
-    found = {r["doc_id"]: r for r in map_arrow(rows, _features, "doc_id long, words array<long>, ratios array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()}
-    return fit([(np.array(r["words"], np.int64), np.array(r["ratios"], np.float32), domain[i]) for i, r in sorted(found.items())], len(DOMAINS))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in domain], "id long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = map_arrow(rows, _features, "doc_id long, words array<long>, ratios array<float>").orderBy("doc_id").collect()
+    return fit([(np.array(sorted(r["words"]), np.int64), np.array(r["ratios"], np.float32), domain[r["doc_id"]]) for r in found], len(DOMAINS))
 
 
 def _posteriors(model: Classifier):  # noqa: ANN202
@@ -191,30 +194,45 @@ def draw_of(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long"))
 
 
-def rate_after(steps: list[np.ndarray]) -> Column:
-    """A document's rate after projected-gradient steps, from the residuals of each."""
+@dataclass(frozen=True)
+class Step:
+    """A step of the descent: the momentum before it, and the gradient of each domain there."""
+
+    momentum: float
+    gradient: np.ndarray
+
+
+def bound_of(protected: tuple[str, ...]) -> Column:
+    """The least rate of a document: 1 if a protected domain is its likeliest."""
+    most = F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
+    held = F.lit(False)
+    for d in protected:
+        held = held | (F.col(f"p_{d}") == most)
+    return F.when(held, 1.0).otherwise(0.0)
+
+
+def rates_after(steps: list[Step], bound: Column) -> Column:
+    """A document's rate after the steps, from its columns ``now`` and ``before``, as a struct of these."""
+    start = F.struct(F.col("now").cast("double").alias("now"), F.col("before").cast("double").alias("before"))
     if not steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.struct(*[F.lit(float(x)).alias(d) for d, x in zip(DOMAINS, s, strict=True)]) for s in steps])
+        return start
+    number = lambda x: f"double('{float(x)!r}')"
+    moves = F.expr("array(" + ", ".join(f"named_struct('momentum', {number(s.momentum)}, " + ", ".join(f"'{d}', {number(x)}" for d, x in zip(DOMAINS, s.gradient, strict=True)) + ")" for s in steps) + ")")
     down = lambda g: sum((F.col(f"p_{d}") * g[d] for d in DOMAINS[1:]), F.col(f"p_{DOMAINS[0]}") * g[DOMAINS[0]])
-    return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
+    go = lambda s, g: F.greatest(bound, s["now"] + g["momentum"] * (s["now"] - s["before"]) - down(g))
+    return F.aggregate(moves, start, lambda s, g: F.struct(go(s, g).alias("now"), s["now"].alias("before")))
 
 
-def targets_of(tokens: np.ndarray, weights: dict[str, float], protected: tuple[str, ...], budget: float | None) -> np.ndarray:
-    """Target tokens of each domain. Domains without present tokens cannot be met; their target is 0."""
-    share = np.array([weights.get(d, 0.0) for d in DOMAINS])
-    share = np.where(tokens > 0, share, 0.0)
-    if share.sum() == 0:
-        return np.zeros(len(share))
-    share /= share.sum()
-    if budget is None:
-        need = [t / s for d, t, s in zip(DOMAINS, tokens, share, strict=True) if d in protected and s > 0]
-        budget = max(need, default=float(tokens.sum()))
-    return share * budget
+def shares_of(tokens: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+    """Target shares; domains without present tokens cannot be met, and have none."""
+    share = np.where(tokens > 0, [weights.get(d, 0.0) for d in DOMAINS], 0.0)
+    return share / share.sum() if share.sum() else share
 
 
 @dataclass(frozen=True)
 class Fit:
+    """Rated documents, target tokens of each domain, the expected tokens that were reached, and the steps."""
+
     rated: DataFrame
     targets: np.ndarray
     reached: np.ndarray
@@ -222,71 +240,80 @@ class Fit:
 
 
 def fit_rates(
-    known: DataFrame, *, weights: dict[str, float] = WEIGHTS, protected: tuple[str, ...] = PROTECTED, budget: float | None = None, tolerance: float = 1e-5, max_steps: int = 60
+    known: DataFrame, *, weights: dict[str, float] = WEIGHTS, protected: tuple[str, ...] = PROTECTED, budget: float | None = None, growth: float = 3.0, eta: float = 0.5,
+    tolerance: float = 1e-3, max_steps: int = 60, patience: int = 6, every: int = 6,
 ) -> Fit:
     """Adds ``rate`` to the output of ``posteriors`` (a written table, as it is read once a step)."""
-
-    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
-
-    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of each domain, and the Gram matrix of the documents with a rate."""
-        r, n = rate_after(steps), F.col("n_tokens")
-        p = [F.col(f"p_{d}") for d in DOMAINS]
-        # whole millionths, so that the sums do not hang on the order of addition
-        whole = lambda x: F.sum(F.round(x * 1e6).cast("decimal(38,0)"))
-        rated = known.withColumn("_r", r)
-        row = rated.agg(*[whole(F.col("_r") * n * x) for x in p], *[whole(F.when(F.col("_r") > 0, n * p[i] * p[j])) for i, j in pairs]).first()
+    bound, scratch = bound_of(protected), Scratch(known.sparkSession, "rates")
+    at = known.withColumns({"now": F.lit(1.0), "before": F.lit(1.0)})
+    steps: list[Step] = []
+    # whole millionths, so that the sums do not hang on the order of addition
+    whole = lambda r, d: F.sum(F.round(r * F.col("n_tokens") * F.col(f"p_{d}") * 1e6).cast("decimal(38,0)"))
+
+    def totals(one: Column, other: Column, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        row = rows.agg(*[whole(r, d) for r in (one, other) for d in DOMAINS]).first()
         found = np.array([float(x or 0) / 1e6 for x in row])
-        gram = np.zeros((len(p), len(p)))
-        for (i, j), x in zip(pairs, found[len(p) :], strict=True):
-            gram[i, j] = gram[j, i] = x
-        return found[: len(p)], gram
-
-    tokens, gram = totals([])
-    targets = targets_of(tokens, weights, protected, budget)
-    least = np.maximum(targets, 1e-3 * np.maximum(tokens, 1.0))
-    off = lambda at: float(np.max(np.abs(at - targets) / least))
-    steps: list[np.ndarray] = []
-    reached = tokens
-    for _ in range(max_steps):
-        if off(reached) <= tolerance:
+        return found[: len(DOMAINS)], found[len(DOMAINS) :]
+
+    tokens, kept = totals(F.lit(1.0), bound, at)
+    share, scale = shares_of(tokens, weights), np.where(tokens > 0, tokens, 1.0)
+    low = high = budget
+    if budget is None:
+        high = growth * float(tokens.sum())
+        low = min(max([k / s for k, s in zip(kept, share, strict=True) if s > 0], default=0.0) or float(tokens.sum()), high)
+    eta_total = eta / max(float(np.sum(share * share / scale)), 1e-300)
+    total = before = low
+    k, n, error = 0, 0, np.inf
+    errors: list[float] = []
+    while True:
+        momentum, r = k / (k + 3), F.col("_r.now")
+        reached, ahead = totals(r, r + momentum * (r - F.col("_r.before")), at.withColumn("_r", rates_after(steps, bound)))
+        targets = share * total
+        if n >= max_steps or np.max(np.abs(reached - targets) / np.maximum(targets, 1e-3 * scale)) <= tolerance:
             break
-        step = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (reached - targets)
-        after = totals([*steps, step])
-        halved = 0
-        while off(after[0]) >= off(reached) and halved < 6:
-            step, halved = step / 2, halved + 1
-            after = totals([*steps, step])
-        if off(after[0]) >= off(reached):
-            break  # no rates come closer along this step
-        steps.append(step)
-        reached, gram = after
-    return Fit(known.withColumn("rate", rate_after(steps)), targets, reached, len(steps))
-
-
-def copies(protected: tuple[str, ...]) -> Column:
+        last, error = error, float(np.sum((reached - targets) ** 2 / scale))
+        errors.append(error)
+        if len(errors) > patience and min(errors[-patience:]) > 0.98 * min(errors[:-patience]):
+            break  # no rates within the bounds come closer
+        if error > last and k:  # the momentum overshoots: it starts anew
+            k, momentum, ahead = 0, 0.0, reached
+        total_ahead = total + momentum * (total - before)
+        gradient = (ahead - total_ahead * share) / scale
+        steps.append(Step(momentum, eta * gradient))
+        total, before = min(max(total_ahead + eta_total * float(np.sum(share * gradient)), low), high), total
+        k, n = k + 1, n + 1
+        if len(steps) == every:
+            moved = at.withColumn("_r", rates_after(steps, bound)).withColumns({"now": F.col("_r.now"), "before": F.col("_r.before")}).drop("_r")
+            at, steps = scratch.save(moved, f"rates{n}"), []
+            scratch.drop(f"rates{n - every}")
+    rated = at.withColumn("rate", rates_after(steps, bound)["now"]).drop("now", "before")
+    return Fit(rated, share * total, reached, n)
+
+
+def copies() -> Column:
     """Whole copies of a rated row."""
     part = F.pmod(F.col("draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = F.floor(F.col("rate")) + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    most = F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
-    held = F.lit(False)
-    for d in protected:
-        held = held | (F.col(f"p_{d}") == most)
-    return F.when(held, F.greatest(drawn, F.lit(1))).otherwise(drawn).cast("int")
+    return (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
 
 
-def rate(docs: DataFrame, labels: DataFrame, *, protected: tuple[str, ...] = PROTECTED, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, **options: object) -> DataFrame:
-    """``doc_id, draw, n_tokens, p_<domain>..., rate, copies``, one row per row of ``docs``."""
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, **options: object) -> Fit:
+    """The fit; its ``rated`` is what ``rate`` gives."""
     model = train(docs, labels, sample=sample, id_col=id_col, text_col=text_col)
     known = Scratch(docs.sparkSession, "mixing").save(posteriors(docs, model, id_col=id_col, text_col=text_col), "posteriors")
-    return fit_rates(known, protected=protected, **options).rated.withColumn("copies", copies(protected))
+    made = fit_rates(known, **options)
+    return Fit(made.rated.withColumn("copies", copies()), made.targets, made.reached, made.steps)
+
+
+def rate(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
+    """``doc_id, draw, n_tokens, p_<domain>..., rate, copies``, one row per row of ``docs``."""
+    return fitted(docs, labels, **options).rated
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of ``docs``, each as often as its copies, with all columns."""
     rated = rate(docs, labels, id_col=id_col, text_col=text_col, **options)
     # rows that repeat have equal answers, of which one is enough
-    rated = rated.groupBy(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_draw", draw_of(id_col, text_col))
-    met = rows.alias("l").join(rated.alias("r"), F.col("l._id").eqNullSafe(F.col("r._id")) & (F.col("l._draw") == F.col("r._draw")))
-    return met.select(*[F.col(f"l.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    rated = rated.groupBy("doc_id", "draw").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(row_of(docs), F.col(id_col).cast("long").alias("id"), draw_of(id_col, text_col).alias("drawn"))
+    met = rows.join(rated, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("drawn") == F.col("draw")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
