@@ -128,14 +128,45 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield at, rows
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
-    """``(node, component)`` for every node of the edges ``(a, b)``; component is the smallest node in it.
+#: Edges that one task joins at most, 32 bytes each; larger graphs take rounds over all tasks.
+SINGLE_TASK_EDGES = 1_000_000
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    table = pa.Table.from_batches(batches, pa.schema([("a", pa.binary()), ("b", pa.binary())])).combine_chunks()
+    ends = pa.concat_arrays([c for name in ("a", "b") for c in table.column(name).chunks] or [pa.array([], pa.binary())]).dictionary_encode()
+    nodes = ends.dictionary.to_pylist()
+    by_rank = sorted(range(len(nodes)), key=nodes.__getitem__)
+    rank = np.empty(len(nodes), np.int64)
+    rank[by_rank] = np.arange(len(nodes))
+    a, b = np.split(rank[ends.indices.to_numpy()], 2)
+    root = np.arange(len(nodes))
+    while True:  # roots sink along edges, and roots of roots are followed
+        lower = root.copy()
+        np.minimum.at(lower, a, root[b])
+        np.minimum.at(lower, b, root[a])
+        lower = lower[lower]
+        if (lower == root).all():
+            break
+        root = lower
+    sorted_nodes = [nodes[i] for i in by_rank]
+    for i in range(0, len(nodes), 50_000):
+        part = root[i : i + 50_000].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(sorted_nodes[i : i + 50_000], pa.binary()), pa.array([sorted_nodes[r] for r in part], pa.binary())], ["node", "component"])
+
+
+def connected_components(scratch: Scratch, edges: DataFrame, name: str, single_task_edges: int = SINGLE_TASK_EDGES) -> DataFrame:
+    """``(node, component)`` for every node of the edges ``(a, b)`` of binary nodes; component is the smallest node in it.
 
-    Alternates large-star and small-star steps, so the rounds grow with the logarithm of the diameter. Each
+    A graph whose count of edges shows it to be small is joined in one task. Else it alternates large-star and small-star steps, so the rounds grow with the logarithm of the diameter. Each
     step moves edges by key only; no task needs the edges of a node together, as minima are pre-aggregated and
     the joins are plain sort-merge joins, which adaptive execution splits at hot nodes.
     """
     edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    if edges.count() <= single_task_edges:
+        return map_arrow(edges.repartition(1), _components, "node binary, component binary")
     step = 0
     last = (-1, None)
     while True:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, connected_components, map_arrow, row_of, shuffle_partitions
+from tessera.llm.common import SINGLE_TASK_EDGES, Scratch, connected_components, map_arrow, row_of, shuffle_partitions
 
 WORDS, THRESHOLD, TREES, LEVELS, TARGET = 5, 0.8, 20, 7, 0.999
 #: Nodes that are sent to all executors at most, 48 bytes each; beyond that texts and nodes meet by a shuffle.
@@ -327,7 +327,7 @@ class Joined:
 
 def join(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS,
-    target: float = TARGET, least: int | None = None, block: int = 1024, broadcast_nodes: int = BROADCAST_NODES, seed: int = 1,
+    target: float = TARGET, least: int | None = None, block: int = 1024, broadcast_nodes: int = BROADCAST_NODES, single_task_edges: int = SINGLE_TASK_EDGES, seed: int = 1,
 ) -> Joined:
     """The join and what it found on its way. ``least`` is the shortest prefix, by default ``floor_depth``."""
     spark = docs.sparkSession
@@ -348,7 +348,7 @@ def join(
     here = shared.select("node", F.xxhash64("tree", F.substring("label", 1, 2 * least)).alias("prefix"))
     heads = here.groupBy("prefix").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("prefix", "head")
     here = scratch.save(here.join(heads, "prefix"), "here")
-    components = scratch.save(connected_components(scratch, here.select(F.col("node").alias("a"), F.col("head").alias("b")), "meet"), "components")
+    components = scratch.save(connected_components(scratch, here.select(F.col("node").alias("a"), F.col("head").alias("b")), "meet", single_task_edges), "components")
     jobs = scratch.save(_jobs(scratch, here, components, block, parts), "jobs")
     texts = docs.select(node_of(text_col).alias("node"), F.col(text_col).alias("text"))
     if components.count() <= broadcast_nodes:
@@ -358,7 +358,7 @@ def join(
     linked = scratch.save(map_arrow(texts, _verify(words, threshold, trees, levels, least, target), "node binary, root binary, n_links long, lacking double, depth int"), "linked")
     degrees = linked.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("root"))
     if jobs.where("large").take(1):  # slices of one component each have a forest of their own
-        joined = connected_components(scratch, linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
+        joined = connected_components(scratch, linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes", single_task_edges)
         degrees = degrees.drop("root").join(joined.select("node", F.col("component").alias("root")), "node")
     degrees = scratch.save(degrees, "degrees")
 

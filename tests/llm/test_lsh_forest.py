@@ -44,11 +44,11 @@ def corpus(n_base=12, n_near=14, seed=5):
     return rows
 
 
-@pytest.mark.parametrize(("block", "broadcast_nodes"), [(1024, 500_000), (4, 0), (3, 500_000)])
-def test_against_brute_force(spark, block, broadcast_nodes):
+@pytest.mark.parametrize(("block", "broadcast_nodes", "edges"), [(1024, 500_000, 10**6), (4, 0, 0), (3, 500_000, 10**6)])
+def test_against_brute_force(spark, block, broadcast_nodes, edges):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, node string")
-    made = lf.similar(docs, block=block, broadcast_nodes=broadcast_nodes).collect()
+    made = lf.similar(docs, block=block, broadcast_nodes=broadcast_nodes, single_task_edges=edges).collect()
     assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in made], key=str) == brute(rows)
 
 
