@@ -376,7 +376,7 @@ def _jobs(scratch: Scratch, here: DataFrame, components: DataFrame, block: int,
     """``node, component, large, slice, i, j``: a row for each job that compares the node, slices ``i`` and ``j`` of its component."""
     sizes = scratch.save(components.groupBy("component").count(), "sizes")
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    block = min(block, max(64, -(-total // (4 * parts))))  # about four slices a task, of so many nodes at most
+    block = min(block, max(256, -(-total // (4 * parts))))  # about four slices a task; a text goes to as many jobs as its component has slices
     many = scratch.save(sizes.where(F.col("count") > block).select("component", F.lit(True).alias("large")), "many")
     zero = [F.lit(0).cast("long").alias(c) for c in ("slice", "i", "j")]
     if not many.take(1):
