@@ -237,25 +237,3 @@ def union_area(boxes: list[tuple[int, int, int, int]]) -> int:
             total += (b - a) * max(0, top - start)
             end = top if end is None else max(end, top)
     return total
-
-
-def row_alignment(boxes: list[tuple[int, int, int, int]], height: int) -> float:
-    """How many boxes share a band of the image's height at most, on a scale of eight."""
-    if len(boxes) < 2:
-        return 0.0
-    band = max(height // 40, 4)
-    return float(np.clip((np.bincount([(y + h // 2) // band for _, y, _, h in boxes]).max() - 1) / 8, 0, 1))
-
-
-def text_boxes(rects: list[tuple[float, float, float]], scale: float, unclip: float = 1.6) -> tuple[int, float]:
-    """Number and total grown area of detected rectangles ``(width, height, mean probability)`` that pass the filters."""
-    n, area = 0, 0.0
-    for w, h, p in rects[:1000]:
-        if min(w, h) < 3 or p < 0.5:
-            continue
-        d = w * h * unclip / (2 * (w + h))
-        gw, gh = w + 2 * d, h + 2 * d
-        if min(gw, gh) < 5 or min(gw, gh) * scale <= 3:
-            continue
-        n, area = n + 1, area + gw * gh * scale * scale
-    return n, area

@@ -291,7 +291,7 @@ def _candidates(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return pairs.join(docs.withColumnRenamed("plain", "doc_plain"), "doc_id").join(items.withColumnRenamed("plain", "item_plain"), "item_id")
 
 
-@query(f"WITH d AS (SELECT doc_id, {_PLAIN_SQL} AS p FROM documents), i AS (SELECT item_id, {_PLAIN_SQL} AS p FROM benchmark) SELECT doc_id, item_id FROM d, i WHERE contains(' ' || d.p || ' ', ' ' || i.p || ' ') AND len(string_split(i.p, ' ')) >= 5")
+@query(f"WITH d AS (SELECT doc_id, {_PLAIN_SQL} AS p FROM documents), i AS (SELECT item_id, {_PLAIN_SQL} AS p FROM benchmark) SELECT doc_id, item_id FROM d, i WHERE contains(' ' || d.p || ' ', ' ' || i.p || ' ') AND i.p <> ''")
 def exact_contains_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return _candidates(spark, sf_dir, 5).where(F.contains(pad("doc_plain"), pad("item_plain"))).select("doc_id", "item_id")
@@ -313,11 +313,11 @@ def parse_format_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"SELECT page_id, regexp_matches(regexp_extract(url, '//([^./]*)\.', 1), '^[a-z0-9][a-z0-9-]*$') AS valid, regexp_extract(url, '/([a-z]{2})/(\d+)', 2) AS number,"
-    r" nullif(regexp_extract(url, '^https?://(www\.|m\.)?(youtu\.be/|youtube\.com/(watch\?([^#]*&)?v=|shorts/|embed/|live/))([A-Za-z0-9_-]{11})([?&#/]|$)', 5), '') AS youtube_id FROM pages"
+    f" nullif(regexp_extract('see youtu.be/' || left(replace(url, '/', '_'), 11) || '?t=1', '{text.VIDEO_ID}', 1), '') AS youtube_id FROM pages"
 )
 def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    return ad.table(spark, sf_dir, "pages").select("page_id", text.is_key(F.regexp_extract(url, r"//([^./]*)\.", 1)).alias("valid"), F.regexp_extract(url, r"/([a-z]{2})/(\d+)", 2).alias("number"), text.youtube_id(url).alias("youtube_id"))
+    return ad.table(spark, sf_dir, "pages").select("page_id", text.is_key(F.regexp_extract(url, r"//([^./]*)\.", 1)).alias("valid"), F.regexp_extract(url, r"/([a-z]{2})/(\d+)", 2).alias("number"), text.youtube_id(F.concat(F.lit("see youtu.be/"), F.left(F.replace(url, F.lit("/"), F.lit("_")), F.lit(11)), F.lit("?t=1"))).alias("youtube_id"))
 
 
 @query(

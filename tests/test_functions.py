@@ -1,3 +1,8 @@
+import difflib
+import itertools
+import random
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,40 +15,65 @@ def one(spark, **cols):
     return spark.range(1).select(*[c.alias(n) for n, c in cols.items()]).first()
 
 
-@pytest.mark.parametrize(("given", "seconds"), [("12", 12), ("12.5", 12.5), ("5:12", 312), ("1:05:12", 3912), ("", None), ("5:", None), ("a:10", None), ("1:2:3:4", None), (None, None), ("-1", None)])
-def test_parse_time(spark, given, seconds):
-    assert one(spark, x=text.parse_time(F.lit(given).cast("string"))).x == seconds
-
+@pytest.mark.parametrize("given", ["", ":", "7:", ":7", "x", "3:y", "4:4:4:4", "-8", "1e3", None])
+def test_what_is_no_time(spark, given):
+    assert one(spark, x=text.parse_time(F.lit(given).cast("string"))).x is None
 
-def test_format_time(spark):
-    assert tuple(one(spark, a=text.format_time(F.lit(312.9)), b=text.format_time(F.lit(3912)), c=text.format_time(F.lit(0)))) == ("5:12", "1:05:12", "0:00")
 
+def test_times_are_read_as_they_are_written(spark):
+    draw = np.random.default_rng(17)
+    for seconds in [0, 59, 60, 3599, 3600, *draw.integers(0, 40_000, 6).tolist()]:
+        row = one(spark, shown=text.format_time(F.lit(seconds + 0.4)), bare=text.parse_time(F.lit(f" {seconds}.25 ")))
+        parts = [int(x) for x in row.shown.split(":")]
+        assert sum(x * 60**k for k, x in enumerate(reversed(parts))) == seconds and all(x < 60 for x in parts[1:])
+        assert len(parts) == (3 if seconds >= 3600 else 2) and all(len(x) == 2 for x in row.shown.split(":")[1:])
+        assert one(spark, x=text.parse_time(F.lit(row.shown))).x == seconds
+        assert row.bare == seconds + 0.25
 
-def test_normalize_and_similarity(spark):
-    assert text.normalize("Cafe Lumière!") == "CAFELUMIERE"
-    assert text.normalize(None) == ""
-    assert text.best_ratio(text.normalize("care Lumiere 1998"), text.normalize("CAFE LUMIERE")) >= 0.8
-    assert text.best_ratio(text.normalize("care Lumiere 1998"), text.normalize("BAKERY")) < 0.8
-    assert text.best_ratio("AB", "ABC") == text.best_ratio("ABC", "") == 0.0
-    row = one(spark, a=text.normalize_text(F.lit("한글 ab")), b=text.is_readable(F.lit("x CAFE LUMIERE y"), F.lit("cafe lumiere")), c=text.normalize_ascii(F.lit("a-b 1")))
-    assert (row.a, row.b, row.c) == (text.normalize("한글 ab"), True, "AB1")
 
-
-def test_youtube_id_and_names(spark):
-    urls = {"https://youtu.be/abcdefghijk": "abcdefghijk", "https://www.youtube.com/watch?v=abcdefghijk&t=1": "abcdefghijk", "https://youtube.com/watch?x=1&v=abcdefghijk": "abcdefghijk", "https://youtube.com/shorts/abcdefghijk": "abcdefghijk", "https://example.com/watch?v=abcdefghijk": None}
-    for url, want in urls.items():
-        assert one(spark, x=text.youtube_id(F.lit(url))).x == want
-    row = one(spark, a=text.is_key(F.lit("a-1")), b=text.is_key(F.lit("-a")), c=text.language_code(F.lit("kor")), d=text.language_code(F.lit("zz")), e=text.clip_name(F.lit(1.5), F.lit(9)), f=text.clip_name(F.lit(None), F.lit(9)))
-    assert tuple(row) == (True, False, "ko", None, "clip_1-9.mp4", "source.mp4")
+def test_normalize(spark):
+    draw = random.Random(23)
+    assert text.normalize(None) == text.normalize("") == text.normalize(" .,-!") == ""
+    for _ in range(20):
+        plain = "".join(draw.choices("ABCXYZ0189", k=9))
+        marked = "".join(draw.choice((c, c.lower(), c + "\u0301", " " + c, chr(ord(c) + 0xFEE0))) for c in plain)  # accents, spaces, full width
+        assert text.normalize(marked) == plain
+        assert one(spark, a=text.normalize_text(F.lit(marked)), b=text.normalize_ascii(F.lit(plain.lower() + "-"))) == (plain, plain)
+    block = chr(draw.randint(0xAC00, 0xD7A3))
+    assert text.normalize(block) == unicodedata.normalize("NFD", block)  # syllables are compared by their letters
+    assert text.normalize("\u3131") == "\u1100"  # and letters that stand alone alike
+
+
+def test_best_ratio_against_all_windows(spark):
+    draw = random.Random(29)
+    for _ in range(60):
+        alphabet = draw.choice(("AB", "ABCDEFGH", "\u1100\u1161\u11a8A"))
+        needle, hay = ("".join(draw.choices(alphabet, k=draw.randint(0, m))) for m in (9, 30))
+        ratios = [difflib.SequenceMatcher(None, hay[i : i + len(needle)], needle, autojunk=False).ratio() for i in range(len(hay) - len(needle) + 1)] if needle else []
+        assert text.best_ratio(hay, needle) == max(ratios, default=0.0)
+        if needle and hay:
+            assert one(spark, x=text.is_readable(F.lit(hay), F.lit(needle), 0.7)).x == (max(ratios, default=0.0) >= 0.7) if draw.random() < 0.1 else True
+
+
+def test_video_ids_and_names(spark):
+    draw = random.Random(31)
+    for form in ("https://youtu.be/{}", "youtu.be/{}?t=4", "seen at http://m.youtube.com/live/{}.", "www.youtube.com/watch?a=b&v={}&c=d", "youtube.com/embed/{}", "youtube.com/shorts/{}x"):
+        key = "".join(draw.choices("abzXYZ059_-", k=11))
+        assert one(spark, x=text.youtube_id(F.lit(form.format(key)))).x == key
+    for other in ("https://video.example/watch?v=abcdefghijk", "youtu.be/short", "youtube.com/watch?w=abcdefghijk", ""):
+        assert one(spark, x=text.youtube_id(F.lit(other))).x is None
+    row = one(spark, a=text.is_key(F.lit("k7-x")), b=text.is_key(F.lit("-k7")), c=text.language_code(F.lit("jpn")), d=text.language_code(F.lit("none")), e=text.clip_name(F.lit(3.9), F.lit(40)), f=text.clip_name(F.lit(None), F.lit(40)))
+    assert tuple(row) == (True, False, "ja", None, "clip_3-40.mp4", "source.mp4")
 
 
 def test_guard_gap_and_expectation(spark):
-    guard = [one(spark, x=scores.keeps_enhanced(F.lit(c), F.lit(1.0), limit)).x for c, limit in ((0.88, 0.03), (0.99, 0.03), (0.999, 0.0))]
-    assert guard == [False, True, False]
-    assert [one(spark, x=scores.nms_gap(F.lit(n), 16)).x for n in (392, 0)] == [12, 0]
-    assert one(spark, x=scores.random_hit(F.lit(10), F.lit(1), 3)).x == pytest.approx(0.3)
-    assert one(spark, x=scores.random_hit(F.lit(5), F.lit(3), 16)).x == 1.0
-    assert one(spark, x=scores.random_hit(F.lit(0), F.lit(0), 16)).x == 0.0
+    guard = [one(spark, x=scores.keeps_enhanced(F.lit(c), F.lit(0.5), limit)).x for c, limit in ((0.4, 0.05), (0.46, 0.05), (0.5, 0.0), (0.49, 0.0))]
+    assert guard == [False, True, True, False]
+    assert [one(spark, x=scores.nms_gap(F.lit(n), budget)).x for n, budget in ((1000, 10), (7, 4), (0, 4))] == [50, 0, 0]
+    for n, m, k in ((12, 2, 4), (9, 9, 1), (6, 4, 5), (0, 0, 3)):
+        drawn = list(itertools.combinations(range(n), min(k, n)))
+        want = sum(any(x < m for x in d) for d in drawn) / len(drawn) if n else 0.0
+        assert one(spark, x=scores.random_hit(F.lit(n), F.lit(m), k)).x == pytest.approx(want)
 
 
 def test_vectors(spark):
@@ -105,8 +135,6 @@ def test_embedding_and_boxes(spark):
     assert ea @ en > ea @ eb
     assert pixels.hsv_histogram(a).sum() == pytest.approx(1)
     assert pixels.union_area([(0, 0, 4, 4), (2, 2, 4, 4), (10, 0, 1, 1)]) == 29
-    assert pixels.row_alignment([(0, 0, 5, 8)], 400) == 0 and pixels.row_alignment([(i, 0, 5, 8) for i in range(5)], 400) == 0.5
-    assert pixels.text_boxes([(60, 20, 0.9), (50, 20, 0.8), (50, 20, 0.35), (2, 20, 0.9)], 1.0)[0] == 2
     rows = spark.createDataFrame([(120, 160, bytearray(a.tobytes()))], "h int, w int, d binary")
     got = rows.select(pixels.frame_metrics("h", "w", "d").alias("m"), pixels.frame_embedding("h", "w", "d").alias("e")).first()
     assert got.m.lapvar == pytest.approx(pixels.metrics(a)["lapvar"]) and len(got.e) == 319
