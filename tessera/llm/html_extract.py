@@ -91,12 +91,33 @@ class Node:
             self.sign = self.tag + "." + ".".join(sorted(set(names)))
 
 
+class _Path:
+    """The open elements, and by tag where in them each stands, so that no lookup climbs the tree."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def leave(self, tag: str, scope: tuple[str, ...] = ()) -> None:
+        """Closes the nearest open ``tag`` and what is open in it, unless an element of the scope is nearer."""
+        found = self.at.get(tag)
+        if found and all(found[-1] > self.at[s][-1] for s in scope if self.at.get(s)):
+            keep = found[-1]
+            while len(self.nodes) > keep:
+                self.at[self.nodes.pop().tag].pop()
+
+
 def parse(page: str) -> Node:
-    """The page's tree; children are nodes and, as strings, undecoded texts."""
-    root = at = Node("", None)
+    """The page's tree; children are nodes and, as strings, undecoded texts. Time grows with the page, however deep it nests."""
+    root = Node("", None)
+    path = _Path(root)
     end, n = 0, len(page)
     while end < n:
         m = _TOKEN.search(page, end)
+        at = path.nodes[-1]
         if m is None:
             at.children.append(page[end:])
             break
@@ -108,46 +129,35 @@ def parse(page: str) -> Node:
             continue  # a comment, a declaration, or a tag that the page's end cuts
         tag = tag.lower()
         if m[1] or m[4]:
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                at = x.parent
+            path.leave(tag)
             continue
         if tag in CLOSES_P:
-            at = _close(at, "p", ("button", "td", "th", "caption"))
+            path.leave("p", ("button", "td", "th", "caption"))
         if tag == "li":
-            at = _close(at, "li", ("ul", "ol", "menu"))
+            path.leave("li", ("ul", "ol", "menu"))
         elif tag in ("dt", "dd"):
-            at = _close(_close(at, "dt", ("dl",)), "dd", ("dl",))
+            path.leave("dt", ("dl",))
+            path.leave("dd", ("dl",))
         elif tag in ("td", "th"):
-            at = _close(_close(at, "td", ("tr", "table")), "th", ("tr", "table"))
+            path.leave("td", ("tr", "table"))
+            path.leave("th", ("tr", "table"))
         elif tag == "tr":
-            at = _close(at, "tr", ("table",))
+            path.leave("tr", ("table",))
         elif tag == "option":
-            at = _close(at, "option", ("select",))
-        elif tag == "body" and at.tag == "head":
-            at = at.parent
+            path.leave("option", ("select",))
+        elif tag == "body" and path.nodes[-1].tag == "head":
+            path.leave("head")
+        at = path.nodes[-1]
         node = Node(tag, at, m[3] or m[6] or "")
         at.children.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.IGNORECASE).search(page, end)
             end = close.end() if close else n
         elif tag not in VOID:
-            at = node
+            path.push(node)
     return root
 
 
-def _close(at: Node, tag: str, scope: tuple[str, ...]) -> Node:
-    """Leaves an open ``tag``, if one is open within the scope."""
-    x = at
-    while x.parent is not None and x.tag not in scope:
-        if x.tag == tag:
-            return x.parent
-        x = x.parent
-    return at
-
-
 def _hash(*parts: object) -> int:
     import xxhash
 
@@ -314,20 +324,17 @@ def _within(node: Node | None) -> bool:
 
 
 def _content(root: Node) -> list[Node]:
-    """The articles, else the main elements, else the whole page."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.noise:
-                continue
-            if x.tag == tag:
-                found.append(x)
-                continue
-            todo += [k for k in reversed(x.children) if isinstance(k, Node)]
-        if found:
-            return found
-    return [root]
+    """The outermost articles and main elements, else the whole page."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.noise:
+            continue
+        if _landmark(x):
+            found.append(x)
+            continue
+        todo += [k for k in reversed(x.children) if isinstance(k, Node)]
+    return found or [root]
 
 
 def _flush(lines: list[str], part: list[str]) -> None:

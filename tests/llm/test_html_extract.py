@@ -109,3 +109,23 @@ def test_pages_of_a_host_that_nest_deeply_keep_their_texts(spark):
 
     made = spark.createDataFrame([r[:3] for r in rows(8)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in hx.main_text(made, depth=4).collect()} == {r[0]: r[3] for r in rows(8)}
+
+
+def test_text_of_main_outside_an_article_stays():
+    assert hx.extract("<body><div>out</div><main><p>lead</p><article><p>body</p></article><nav>n</nav></main></body>", "h", frozenset()) == "lead\nbody"
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p><span>", "<span></b>", "<td><div>", "<li><i>", "<table><tr>", "<dl><dt><div>"])
+def test_time_grows_with_the_page_alone(unit):
+    import time
+
+    def took(n):
+        best = math.inf
+        for _ in range(3):
+            begun = time.process_time()
+            hx.extract(unit * n + "deep", "h", frozenset({1}))
+            best = min(best, time.process_time() - begun)
+        return best
+
+    assert hx.extract(unit * 5000 + "deep", "h", frozenset()) == "deep"
+    assert took(32_000) < 40 * max(took(2000), 1e-3)  # sixteen times the page; a quadratic parser takes 256 times as long
