@@ -6,8 +6,8 @@ A document's shingles are its runs of five words. It has a label of ``levels`` M
 2. The labels of all tries are sorted by range. Neighbours in that order share the longest prefixes, so one pass tells each
    node how long a prefix it shares with any other in each trie; labels that share less than the floor are leaves alone.
 3. Nodes that share a prefix at the floor, the longest prefix at which even a pair at the threshold meets with the target
-   probability, are dealt by connected components. A component of over ``block`` nodes is cut into slices along the order of
-   the prefixes, and only slices that hold nodes that met are compared.
+   probability, are dealt by connected components. A component of over ``block`` nodes is cut into slices of nodes with equal
+   prefixes, and only slices that hold nodes that met are compared.
 4. In a job, nodes first meet where whole labels agree, and what meets is verified exactly. Then prefixes are shortened level
    by level, for those nodes only that still fall short of the target recall (Bawa, Condie and Ganesan, 2005). A link of
    similarity s is found at depth d with the chance 1 - (1 - s^d)^trees, so the links that a node has say how many it
@@ -184,26 +184,6 @@ def _neighbours(levels: int, least: int):  # noqa: ANN202
     return run
 
 
-def _slices(block: int):  # noqa: ANN202
-    """Nodes of large components in order to slices of ``block`` nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = (TaskContext.get() and TaskContext.get().partitionId()) or 0
-        at, n, serial = None, 0, task << 32
-        for batch in batches:
-            out = []
-            for component in batch.column("component").to_pylist():
-                if component != at or n == block:
-                    at, n, serial = component, 0, serial + 1
-                n += 1
-                out.append(serial)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(out, pa.int64())], ["node", "component", "slice"])
-
-    return run
-
-
 # --- verification
 
 
@@ -382,11 +362,15 @@ def _jobs(scratch: Scratch, here: DataFrame, components: DataFrame, block: int,
     if not many.take(1):
         return components.select("node", "component", F.lit(False).alias("large"), *zero)
     nodes = scratch.save(components.join(many, "component", "left").fillna(False, ["large"]), "nodes")
-    # in a large component nodes with the same least prefix lie together; a slice is a run of them
+    # in a large component nodes with the same least prefix are dealt to one slice, or to several of their own if they are many
     own = here.join(nodes.where("large").select("node"), "node", "left_semi")
-    keyed = nodes.where("large").join(own.groupBy("node").agg(F.min("prefix").alias("key")), "node")
-    ordered = keyed.repartitionByRange(parts, "component", "key", "node").sortWithinPartitions("component", "key", "node").select("node", "component")
-    slices = scratch.save(map_arrow(ordered, _slices(block), "node binary, component binary, slice long"), "slices")
+    keyed = scratch.save(nodes.where("large").join(own.groupBy("node").agg(F.min("prefix").alias("key")), "node").select("node", "component", "key"), "keyed")
+    keys = scratch.save(keyed.groupBy("component", "key").agg(F.count("*").alias("n")), "keys")
+    rest = keys.where(F.col("n") <= block).groupBy("component").agg(F.ceil(F.sum("n") / block).alias("slices"))
+    dealt = keyed.join(keys, ["component", "key"]).join(rest, "component", "left")
+    hot = F.col("n") > block
+    place = F.when(hot, F.xxhash64("component", "key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("key"), F.col("slices"))))
+    slices = scratch.save(dealt.select("node", "component", place.alias("slice")), "slices")
     spans = scratch.save(own.select("node", "prefix").join(slices.select("node", "slice"), "node").select("prefix", "slice").distinct(), "spans")
     meet = scratch.save(spans.join(spans.withColumnRenamed("slice", "other"), "prefix").where("slice < other").select("slice", "other").distinct(), "meet")
     i, j = F.col("slice").alias("i"), F.col("other").alias("j")
