@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,20 +41,24 @@ def adaptive_threshold(similar: DataFrame, default: float, rate: float = 0.25) -
 def segment(similar: DataFrame, threshold: Column, min_gap: float) -> DataFrame:
     """``video_id, frame_index, shot_id``: a shot ends where the similarity is below the threshold and it has lasted ``min_gap``.
 
-    The start only moves at a cut, so this is a fold and not a running sum of cuts. ``similar`` has ``t`` and ``sim``.
+    The start only moves at a cut, so this is a fold and not a running sum of cuts: one pass over a sequence, of which Python
+    only gets the times and what is low. ``similar`` has ``t`` and ``sim``. A null similarity cuts nothing, nor does a row
+    without a time; after a cut without a time the next row cuts again.
     """
-    rows = similar.withColumn("_threshold", threshold)
-    steps = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "t", "sim", "_threshold"))).alias("steps"))
-    start = F.struct(F.lit(None).cast("double").alias("since"), F.lit(-1).alias("shot"), F.array().cast("array<struct<frame_index:bigint,shot_id:int>>").alias("out"))
+    key = similar.schema["video_id"].dataType.simpleString()
+    low = F.coalesce(F.col("sim") < threshold, F.lit(False)).alias("low")
+    rows = similar.select("video_id", F.col("frame_index").cast("long").alias("frame_index"), F.col("t").cast("double").alias("t"), low)
 
-    def step(s: Column, x: Column) -> Column:
-        first = s["since"].isNull()
-        cut = first | (F.coalesce(x["sim"] < x["_threshold"], F.lit(False)) & (x["t"].cast("double") - s["since"] >= min_gap))
-        shot = F.when(cut, s["shot"] + 1).otherwise(s["shot"])
-        item = F.struct(x["frame_index"].cast("bigint").alias("frame_index"), shot.alias("shot_id"))
-        return F.struct(F.when(cut, x["t"].cast("double")).otherwise(s["since"]).alias("since"), shot.alias("shot"), F.concat(s["out"], F.array(item)).alias("out"))
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("frame_index", "ascending"), ("t", "ascending"), ("low", "descending")])
+        shots, since, shot = [], None, -1
+        for t, is_low in zip(table["t"].to_pylist(), table["low"].to_pylist(), strict=True):
+            if since is None or (is_low and t is not None and not t - since < min_gap):
+                since, shot = t, shot + 1
+            shots.append(shot)
+        return table.select(["video_id", "frame_index"]).append_column("shot_id", pa.array(shots, pa.int32()))
 
-    return steps.select("video_id", F.explode(F.aggregate("steps", start, step)["out"]).alias("o")).select("video_id", "o.frame_index", "o.shot_id")
+    return rows.groupBy("video_id").applyInArrow(one, f"video_id {key}, frame_index long, shot_id int")
 
 
 def representatives(scored: DataFrame) -> DataFrame:
@@ -136,23 +141,47 @@ def pick_spaced(rows: DataFrame, budget: int) -> DataFrame:
     return wanted.groupBy("video_id").applyInPandas(one, "video_id long, frame_index long")
 
 
-def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """``video_id, frame_index, other, sim, rank``: each row's ``k`` most similar ones in its sequence.
-
-    A grouped UDF multiplies blocks of the sequence's matrix, so no pair but those returned becomes a row.
+def _most_similar(left: pd.DataFrame, right: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
+    """``frame_index, other, sim``: the ``k`` rows of ``right`` most similar to each of ``left``; if they are the same rows, none is its own."""
+    index, others = left["frame_index"].to_numpy(), right["frame_index"].to_numpy()
+    a, b = _matrix(left), _matrix(right)
+    k = min(k, len(others) - same)
+    out = []
+    for at in range(0, len(index) if k > 0 else 0, 512):
+        sim = np.round(a[at : at + 512] @ b.T, 6)
+        if same:
+            sim[np.arange(len(sim)), at + np.arange(len(sim))] = -np.inf
+        least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero(sim >= least[:, None])  # more than k where the last ones tie
+        order = np.lexsort((others[col], -sim[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        out.append(pd.DataFrame({"frame_index": index[at + row], "other": others[col], "sim": sim[row, col]}))
+    return pd.concat(out) if out else pd.DataFrame({"frame_index": [], "other": [], "sim": []})
+
+
+def nearest(rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """``video_id, frame_index, other, sim, rank``: each row's ``k`` most similar ones in its sequence, by place if equal.
+
+    A long sequence is dealt into blocks of about ``block`` rows, and each pair of blocks is a group of its own that
+    multiplies two small matrices; only the ``k`` best of a row and block go on. So no task holds a sequence, however
+    long, and no pair but those becomes a row. ``frame_index`` is a key of its sequence.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        index, m = pdf["frame_index"].to_numpy(), _matrix(pdf)
-        out = []
-        for a in range(0, len(index), 1024):
-            sim = np.round(m[a : a + 1024] @ m.T, 6)
-            for i in range(len(sim)):
-                sim[i, a + i] = -np.inf
-                order = np.lexsort((index, -sim[i]))[: min(k, len(index) - 1)]
-                out += [(pdf["video_id"].iloc[0], index[a + i], index[j], sim[i, j], r) for r, j in enumerate(order, 1)]
-        return pd.DataFrame(out, columns=["video_id", "frame_index", "other", "sim", "rank"])
+        pdf = pdf.sort_values("frame_index", kind="stable")
+        sides = [pdf[pdf["side"] == s] for s in (0, 1)]
+        made = _most_similar(*sides, k, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]))
+        return made.assign(video_id=pdf["video_id"].iloc[0])[["video_id", "frame_index", "other", "sim"]]
 
     wanted = rows.select("video_id", F.col("frame_index").cast("long").alias("frame_index"), "embedding")
-    return wanted.groupBy("video_id").applyInPandas(one, "video_id long, frame_index long, other long, sim double, rank int")
+    blocks = wanted.groupBy(F.col("video_id").alias("_video")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = wanted.join(blocks, F.col("video_id").eqNullSafe(F.col("_video"))).withColumn("_at", F.pmod(F.xxhash64("frame_index"), F.col("_n")).cast("int"))
+    places = F.sequence(F.lit(0), F.col("_n") - 1)
+    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    copies = F.concat(F.transform(places, lambda x: pair(F.col("_at"), x, 0)), F.transform(places, lambda x: pair(x, F.col("_at"), 1)))
+    met = dealt.select("video_id", "frame_index", "embedding", F.explode(copies).alias("_c")).select("video_id", "frame_index", "embedding", "_c.*")
+    best = met.groupBy("video_id", "i", "j").applyInPandas(one, "video_id long, frame_index long, other long, sim double")
+    rank = F.row_number().over(Window.partitionBy("video_id", "frame_index").orderBy(F.desc("sim"), "other"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
