@@ -63,6 +63,10 @@ class Scratch:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def read(self, name: str) -> DataFrame:
+        """A table that ``save`` has written."""
+        return self.spark.read.parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, self.path(name))
@@ -78,6 +82,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    at, system = _located(spark, path)
+    system.mkdirs(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at, system = _located(spark, path)
     system.delete(at, True)

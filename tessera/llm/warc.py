@@ -12,7 +12,8 @@ reports the bytes between as a quarantined gap with the reason.
 Defined results: null html is an empty payload; null urls are written as ``urn:x-null``, white space and control
 characters in urls are percent-encoded; a null page id is written and read as null; rows that repeat both id and payload
 are equal records of the same type; an empty table gives no records. Other columns are not read. A file is held in memory
-while it is read, so the writer closes files after ``max_records`` records; a record is never split.
+while it is read, so the writer bounds the payload bytes of a file: payloads are written by classes of size, each with as many
+records a file as its largest payloads allow; a record is never split.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, map_arrow
+from tessera.llm.common import Scratch, make_dir, map_arrow, remove
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -92,16 +93,36 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def write_warc(pages: DataFrame, path: str, scratch: Scratch, *, min_revisit_bytes: int = 0, compress: bool = False, max_records: int = 20_000, **cols: str) -> None:
-    """Writes one record per row below ``path``; several files, each a WARC file of its own."""
-    lines = plan_records(pages, scratch, min_revisit_bytes, **cols).select(_records().alias("value"))
-    ends = END
-    if compress:
-        lines, ends = map_arrow(lines, _members, "value binary").select(F.col("value").cast("string").alias("value")), "\x00"
-    lines.write.mode("overwrite").option("lineSep", ends).option("maxRecordsPerFile", max_records).text(path)
+#: Largest payloads of the classes of size, in bytes; a last class has what is larger.
+SIZES = (16 << 10, 512 << 10)
 
 
-VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+def size_classes(largest: list[tuple[int, int]], max_records: int, max_bytes: int) -> list[tuple[int, int]]:
+    """``(class, records a file)`` for ``(class, bytes of its largest payload)``: so many records hold ``max_bytes`` at most,
+    or one record if that alone is larger."""
+    return [(c, max(1, min(max_records, max_bytes // max(n, 1)))) for c, n in sorted(largest)]
+
+
+def write_warc(pages: DataFrame, path: str, scratch: Scratch, *, min_revisit_bytes: int = 0, compress: bool = False, max_records: int = 20_000, max_bytes: int = 128 << 20, **cols: str) -> None:
+    """Writes one record per row below ``path``; several files, each a WARC file of its own.
+
+    A file holds ``max_records`` records and ``max_bytes`` of payload at most (before compression), unless a single payload is
+    larger. Each class of size that occurs is a folder below ``path`` and a pass over the pages; most tables have one or two.
+    """
+    records = plan_records(pages, scratch, min_revisit_bytes, **cols)
+    of = F.when(F.col("_bytes") <= SIZES[0], 0).when(F.col("_bytes") <= SIZES[1], 1).otherwise(2)
+    keyed = scratch.read("keyed").groupBy(of.alias("c")).agg(F.max("_bytes").alias("n"))
+    remove(scratch.spark, path)
+    make_dir(scratch.spark, path)
+    for c, count in size_classes([tuple(r) for r in keyed.collect()], max_records, max_bytes):
+        lines = records.where(of == c).select(_records().alias("value"))
+        ends = END
+        if compress:
+            lines, ends = map_arrow(lines, _members, "value binary").select(F.col("value").cast("string").alias("value")), "\x00"
+        lines.write.mode("overwrite").option("lineSep", ends).option("maxRecordsPerFile", count).text(f"{path}/size-{c}")
+
+
+VERSION = re.compile(rb"WARC/(?:1\.[01]|0\.1[78])\r\n")
 GZIP = b"\x1f\x8b\x08"
 OPENS = re.compile(VERSION.pattern + b"|" + re.escape(GZIP))
 
@@ -121,6 +142,15 @@ class Gap:
     reason: str
 
 
+def _spelt(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def _base32(digest: str) -> str:
+    """A SHA-1 in base 32 as it is, or from its 40 hexadecimal digits."""
+    return _spelt(bytes.fromhex(digest)) if re.fullmatch(r"[0-9A-Fa-f]{40}", digest) else digest.upper()
+
+
 def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     """The record at ``at`` and where it ends, or the reason why there is none."""
     version = VERSION.match(data, at)
@@ -147,26 +177,33 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if fields.get("content-type", "").startswith("application/http"):
         payload = payload.partition(b"\r\n\r\n")[2]
     digest = fields.get("warc-payload-digest", "")
-    if digest.startswith("sha1:") and fields["warc-type"] != "revisit" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:].upper():
+    if digest.startswith("sha1:") and fields["warc-type"] != "revisit" and _spelt(hashlib.sha1(payload).digest()) != _base32(digest[5:]):
         return None, at, "payload digest differs"
     return Record(at, end + 4 - at, fields, payload), end + 4, ""
 
 
-def _at(data: bytes, at: int) -> tuple[Record | None, int, str]:
-    """The record at ``at``, plain or a gzip member, and where it ends; the reason if there is none, and where to look on.
-    An empty member has neither record nor reason."""
+def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """What opens at ``at``, a plain record or the records of a gzip member, and where it ends; the reason if there is no
+    record, and where to look on. An empty member has neither records nor a reason."""
     if not data.startswith(GZIP, at):
-        return _parse(data, at)
+        record, end, why = _parse(data, at)
+        return [record] if record else [], end, why
     found = _first_member(data, at)
     if found is None:
-        return None, at, "member does not inflate"
+        return [], at, "member does not inflate"
     made, end = found
     if not made:
-        return None, end, ""
+        return [], end, ""
     record, stop, why = _parse(made, 0)
-    if record and stop == len(made):
-        return Record(at, end - at, record.fields, record.payload), end, ""
-    return None, end, why or "member holds more than a record"
+    inside = [record] if record and stop == len(made) else list(salvage(made))
+    if not any(isinstance(x, Record) for x in inside):
+        return [], end, why
+    # what shares a member has the member's place, and the first of it the member's bytes
+    for n, x in enumerate(inside):
+        x.offset, x.length = at, 0 if n else end - at
+        if isinstance(x, Gap):
+            x.reason = f"inside a member: {x.reason}"
+    return inside, end, ""
 
 
 def _first_member(data: bytes, at: int) -> tuple[bytes, int] | None:
@@ -187,11 +224,11 @@ def _first_member(data: bytes, at: int) -> tuple[bytes, int] | None:
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of an archive in order; together they cover every byte of it (but empty gzip members).
 
-    Behind damage it goes on at the nearest valid record, be it plain or a gzip member.
+    A gzip member may hold several records, and damage between them. Behind damage it goes on at the nearest valid record, be it plain or a gzip member.
     """
     at, gap, why = 0, None, ""
     while at < len(data):
-        record, end, bad = _at(data, at)
+        met, end, bad = _at(data, at)
         if bad:
             gap, why = (at if gap is None else gap), why or bad
             found = OPENS.search(data, max(end, at + 1))
@@ -200,8 +237,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if gap is not None:
             yield Gap(gap, at - gap, why)
             gap, why = None, ""
-        if record:
-            yield record
+        yield from met
         at = end
     if gap is not None:
         yield Gap(gap, len(data) - gap, why)
@@ -225,7 +261,7 @@ def _read(with_payload: bool):  # noqa: ANN202
                     else:
                         f = x.fields
                         size = f.get("warc-payload-length") if f["warc-type"] == "revisit" else len(x.payload)
-                        digest = f.get("warc-payload-digest", "").removeprefix("sha1:") if f["warc-type"] == "revisit" else base64.b32encode(hashlib.sha1(x.payload).digest()).decode()
+                        digest = _base32(f.get("warc-payload-digest", "").removeprefix("sha1:")) if f["warc-type"] == "revisit" else _spelt(hashlib.sha1(x.payload).digest())
                         rows.append((path.as_py(), "record", x.offset, x.length, None, f["warc-type"], f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), digest, None if size is None else int(size), x.payload if with_payload else None))
                         held += len(x.payload) * with_payload
                     if len(rows) >= 4096 or held > 8 << 20:

@@ -42,3 +42,31 @@ def test_round_trip_digests(spark, vocabulary, truth):
 def test_empty_table(spark, vocabulary):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, vocabulary).collect() == []
+
+
+def merged(piece, ranks):
+    """The ids of a match by the merges' definition: the adjacent pair of least rank is joined, the first of equals, until none has a rank."""
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        least = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if least is None:
+            return [ranks[p] for p in parts]
+        parts[least[1] : least[1] + 2] = [parts[least[1]] + parts[least[1] + 1]]
+
+
+def test_encode_matches_a_merge_loop_of_its_own(spark, vocabulary):
+    import base64
+
+    import regex
+
+    ranks = {}
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        for line in lines:
+            token, _, rank = line.partition(b" ")
+            ranks[base64.b64decode(token)] = int(rank)
+    texts = [(d, t) for d, t in TEXTS if d not in (5, 7)] + [(8, "Donaudampfschifffahrtsgesellschaft unbelievableness zzzqqqxxyy ÄÖÜß привет-мир 12345678 \u200d\ufeff"), (9, "ab" * 150)]
+    want = [(d or 0, [i for m in regex.findall(P.PATTERN, t or "") for i in merged(m.encode(), ranks)]) for d, t in texts]
+    made = [(r.doc_id or 0, list(r.ids)) for r in bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), vocabulary).collect()]
+    assert sorted(made) == sorted(want)

@@ -105,3 +105,37 @@ def test_salvage_of_plain_records_behind_a_gzip_magic():
     found = list(warc.salvage(data))
     assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == [f"<urn:x-page:{i}>" for i in (1, 2, 3)]
     assert (found[0].offset, found[0].length) == (0, len(recs[0]) + 3)
+
+
+def test_records_that_share_a_member_or_spell_their_digest_in_hexadecimal():
+    import gzip
+
+    recs = archive(5, False)
+    body = b"payload 1 " * 2
+    hexed = recs[1].replace(base64.b32encode(hashlib.sha1(body).digest()), hashlib.sha1(body).hexdigest().encode())
+    assert hexed != recs[1]
+    wrong = recs[3].replace(b"payload 3", b"payload X", 1)
+    data = gzip.compress(recs[0]) + gzip.compress(hexed + recs[2] + wrong + recs[4]) + recs[0].replace(b"WARC/1.0", b"WARC/0.18")
+    found = list(warc.salvage(data))
+    assert [x.fields["warc-record-id"] if isinstance(x, warc.Record) else x.reason for x in found] == [
+        "<urn:x-page:0>", "<urn:x-page:1>", "<urn:x-page:2>", "inside a member: payload digest differs", "<urn:x-page:4>", "<urn:x-page:0>"
+    ]
+    assert sum(x.length for x in found) == len(data)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    assert warc.size_classes([(1, 500_000), (0, 0), (2, 1 << 40)], 20_000, 1 << 20) == [(0, 20_000), (1, 2), (2, 1)]
+    pages = [(i, None, f"{i}" + "x" * n) for i, n in enumerate([10] * 30 + [20_000] * 12 + [600_000] * 3 + [16 << 10, 0])]
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path, Scratch(spark, "t"), max_bytes=100_000)
+    rows = warc.read_warc(spark, path).collect()
+    assert sorted((warc_id(r.record_id), r.payload.decode()) for r in rows) == [(i, h) for i, _, h in pages]
+    held = {}
+    for r in rows:
+        held.setdefault(r.path, []).append(r.payload_length)
+    assert all(sum(n) <= 100_000 or len(n) == 1 for n in held.values())
+    assert len(held) >= 3 + 3 + 1
+
+
+def warc_id(record_id):
+    return int(record_id.removeprefix("<urn:x-page:").removesuffix(">"))
