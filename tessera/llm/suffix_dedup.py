@@ -373,10 +373,36 @@ def _send_runs(length: int, gram: int, parts: int):  # noqa: ANN202
 
 
 def suffix_order(text: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Order of the suffixes at ``at`` by their first ``length`` bytes, then by document."""
+    """Order of the suffixes at ``at`` by their first ``length`` bytes, then by document.
+
+    Eight bytes at a time; what they have put in order is not looked at again, only suffixes that are equal so far.
+    """
     views = _views(text)
-    keys = [word_at(views, at + k) for k in (*range(0, length - 8, 8), length - 8)]
-    return np.lexsort((doc, *keys[::-1]))
+    order = np.arange(len(at))
+    tied, group = np.arange(len(at)), np.zeros(len(at), np.uint64)  # places that share a group, and their group
+    for k in (*range(0, length - 8, 8), length - 8, None):
+        own = order[tied]
+        value = doc[own] if k is None else word_at(views, at[own] + k)
+        by = np.argsort(value)
+        # ranks of the values within all, so that group and value are one number
+        step = np.ones(len(by), np.uint64)
+        step[1:] = value[by][1:] != value[by][:-1]
+        both = np.empty(len(by), np.uint64)
+        both[by] = np.cumsum(step)
+        both |= group << np.uint64(32)
+        by = np.argsort(both)
+        order[tied] = own[by]
+        both = both[by]
+        same = both[1:] == both[:-1]
+        keep = np.zeros(len(both), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        head = np.ones(len(both), np.uint64)
+        head[1:] = ~same
+        tied, group = tied[keep], np.cumsum(head)[keep]
+        if not len(tied):
+            break
+    return order
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:

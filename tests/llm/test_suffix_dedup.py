@@ -141,3 +141,18 @@ def test_parts_follow_the_bytes(spark):
 def test_short_lengths_are_refused(spark):
     with pytest.raises(ValueError, match="gram"):
         sd.dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=7)
+
+
+def test_suffix_order_sorts_bytes_then_documents():
+    rng = np.random.default_rng(8)
+    for letters, n in ((2, 3000), (250, 500)):
+        text = rng.integers(0, letters, n, np.uint8)
+        text[n // 2 : n // 2 + 200] = text[:200]
+        text[-150:] = 7
+        at = rng.permutation(n - 50 + 1)
+        doc = rng.integers(-3, 4, len(at)) * (1 << 40)
+        order = sd.suffix_order(text, at, doc, 50)
+        keys = [(text[a : a + 50].tobytes(), d) for a, d in zip(at.tolist(), doc.tolist(), strict=True)]
+        assert sorted(order.tolist()) == list(range(len(at)))
+        assert [keys[i] for i in order] == sorted(keys)
+    assert len(sd.suffix_order(text, at[:0], doc[:0], 50)) == 0
