@@ -144,10 +144,15 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """Adds the metrics, ``base_failed`` and ``kept``."""
+    """Adds the metrics, ``base_failed`` and ``kept``; columns of the input with such names, in any case, give way to them."""
     names = (*COUNTS, *RATIOS, "base_failed", "kept")
-    found = docs.withColumn("_verdict", verdict(F.col(text_col), rules))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col("_verdict")[n].alias(n) for n in names])
+    taken = {c.lower() for c in docs.columns}
+    made = "_verdict"
+    while made in taken:
+        made += "_"
+    ours = {n.lower() for n in names}
+    found = docs.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns if c.lower() not in ours], verdict(F.col(text_col), rules).alias(made))
+    return found.select(*["`" + c.replace("`", "``") + "`" for c in found.columns if c != made], *[F.col(made)[n].alias(n) for n in names])
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:

@@ -48,3 +48,13 @@ def test_keep_and_empty(spark):
 def test_each_rule(spark, rule, kept):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("m", quality.metrics(F.col("text"))).withColumn("held", quality.compile_rules((rule,), F.col("m")))
     assert {r.doc_id for r in docs.where("held").collect()} == kept
+
+
+def test_columns_of_the_input_with_names_of_ours(spark):
+    docs = spark.createDataFrame([(1, "a b", "v", "w", 3, "x")], "doc_id long, text string, _verdict string, `a``.b` string, N_Words int, Kept string")
+    made = quality.judge(docs)
+    assert [c for c in made.columns if c.lower() == "kept"] == ["kept"]
+    row = made.first()
+    assert (row["_verdict"], row["a`.b"], row["n_words"], row["kept"]) == ("v", "w", 2, False)
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns
