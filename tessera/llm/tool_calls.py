@@ -113,31 +113,29 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     ids = calls.select(*key)
     wanted = calls.select(*key, F.explode(F.array_distinct("after")).alias("dep"))
     known = ids.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("known"))
-    edges = scratch.save(wanted.join(known, ["conv_id", "dep"], "left"), "edges")
-    need = edges.groupBy(*key).agg(F.count("known").alias("left"), F.count_if(F.col("known").isNull()).alias("unknown"))
-    state = scratch.save(ids.join(need, key, "left").select(*key, F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("unknown", F.lit(0)).alias("unknown")), "state")
-    edges = edges.where("known").drop("known")
-    single = edges.join(state.where("left = 1").select(*key), key)
+    edges = wanted.join(known, ["conv_id", "dep"], "left")
+    need = edges.groupBy(*key).agg(F.collect_list(F.when(F.col("known"), F.col("dep"))).alias("deps"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    state = ids.join(need, key, "left").select(*key, F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
+    state = scratch.save(state.withColumn("left", F.size("deps").cast("long")), "state")
+    single = state.where("left = 1").select(*key, F.col("deps")[0].alias("dep"))
     chains = _chains(single, state.where("left <> 1"), scratch)
-    # dependencies of calls with several, as the anchors that they hang on and the steps to them
+    # these tables are written already, and those of Kahn's rounds only if some call has several dependencies
     anchors = chains.union(state.where("left <> 1").select(*key, F.col("call_id").alias("anchor"), F.lit(0).alias("steps")))
-    anchors = scratch.save(anchors, "anchors")
     several = state.where("left > 1").select(*key, "left")
-    hung = edges.join(several.select(*key), key).join(anchors.select("conv_id", F.col("call_id").alias("dep"), "anchor", "steps"), ["conv_id", "dep"])
-    hung = scratch.save(hung.select(*key, "anchor", "steps"), "hung")
-    front = scratch.save(state.where("left = 0").select(*key, F.lit(0).alias("level")), "level0")
-    waiting, done, k = several.withColumn("high", F.lit(0)), [], 0
-    while front.take(1):
-        done.append(front)
-        k += 1
-        freed = hung.join(front.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"]).groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("level") + F.col("steps")).alias("top"))
-        after = waiting.join(freed, key, "left").select(*key, (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("high", F.coalesce("top", F.lit(0))).alias("high"))
-        after = scratch.save(after, f"waiting{k}")
-        front = scratch.save(after.where("left = 0").select(*key, (F.col("high") + 1).alias("level")), f"level{k}")
-        waiting = after.where("left > 0")
-    ranked = done[0] if done else front
-    for d in done[1:]:
-        ranked = ranked.union(d)
+    ranked = front = state.where("left = 0").select(*key, F.lit(0).alias("level"))
+    if several.take(1):
+        # dependencies of calls with several, as the anchors that they hang on and the steps to them
+        hung = state.where("left > 1").select(*key, F.explode("deps").alias("dep")).join(anchors.select("conv_id", F.col("call_id").alias("dep"), "anchor", "steps"), ["conv_id", "dep"])
+        hung = scratch.save(hung.select(*key, "anchor", "steps"), "hung")
+        waiting, k = several.withColumn("high", F.lit(0)), 0
+        while front.take(1):
+            ranked = ranked.union(front) if k else ranked
+            k += 1
+            freed = hung.join(front.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"]).groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("level") + F.col("steps")).alias("top"))
+            after = waiting.join(freed, key, "left").select(*key, (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("high", F.coalesce("top", F.lit(0))).alias("high"))
+            after = scratch.save(after, f"waiting{k}")
+            front = scratch.save(after.where("left = 0").select(*key, (F.col("high") + 1).alias("level")), f"level{k}")
+            waiting = after.where("left > 0")
     ranked = anchors.join(ranked.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base")), ["conv_id", "anchor"]).select(*key, (F.col("base") + F.col("steps")).alias("level"))
     return state.select(*key, "unknown").join(ranked, key, "left")
 

@@ -77,3 +77,17 @@ def test_messages(spark):
     plan = tc.link(tc.calls_of(m), tc.results_of(m))._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and not any(x in plan for x in ("Python", "Arrow", "Pandas"))
     assert tc.link(tc.calls_of(m.limit(0)), tc.results_of(m.limit(0))).collect() == []
+
+
+def test_tables_written(spark, monkeypatch):
+    """Each table is a file a partition: those of Kahn's rounds are written only where a call has several dependencies."""
+    names, save = [], tc.Scratch.save
+    monkeypatch.setattr(tc.Scratch, "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    plain = [(1, i, 0, f"c{i}", "add", '{"a":1}', [f"c{i - 1}", f"c{i - 1}", "gone", None] if i else []) for i in range(4)]
+    rows = run(spark, plain, [])
+    assert [(rows[1, f"c{i}"].level, rows[1, f"c{i}"].errors) for i in range(4)] == [(0, "")] + [(i, "a dependency is not known") for i in range(1, 4)]
+    assert [n for n in names if not n.startswith("chain")] == ["calls", "state"]
+    names.clear()
+    rows = run(spark, [*plain, (1, 9, 0, "j", "add", '{"a":1}', ["c3", "c1"])], [])
+    assert rows[1, "j"].level == 4
+    assert "hung" in names
