@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, map_arrow, shuffle_partitions
+from tessera.llm.common import Scratch, map_arrow, release_memory, shuffle_partitions
 
 WORDS, CODES, IDS = 0, 1, 2
 PACKED = "block long, kind int, part int, n int, body binary"
@@ -69,21 +70,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PACKED_TYPES, strict=True)], PACKED_NAMES)
 
 
-def _pack(*parts: bytes, level: int = 3) -> bytes:
-    """Parts, each after its length, compressed."""
+def _pack(*parts: bytes | bytearray, level: int = 3) -> bytes:
+    """Parts, each after its length, compressed as one stream, so that they are never joined."""
     import zstandard
 
-    raw = b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-    return zstandard.ZstdCompressor(level=level).compress(raw)
+    stream = zstandard.ZstdCompressor(level=level).compressobj(size=sum(8 + len(p) for p in parts))
+    return b"".join([*(stream.compress(x) for p in parts for x in (len(p).to_bytes(8, "little"), p)), stream.flush()])
 
 
-def _unpack(body: bytes) -> list[bytes]:
+def _unpack(body: bytes) -> list[memoryview]:
     import zstandard
 
     raw, at, out = memoryview(zstandard.ZstdDecompressor().decompress(body)), 0, []
     while at < len(raw):
         n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(bytes(raw[at + 8 : at + 8 + n]))
+        out.append(raw[at + 8 : at + 8 + n])
         at += 8 + n
     return out
 
@@ -94,19 +95,30 @@ def _planes(values: np.ndarray) -> tuple[bytes, ...]:
     return tuple(np.ascontiguousarray(raw[:, i]).tobytes() for i in range(4))
 
 
-def _from_planes(planes: list[bytes]) -> np.ndarray:
+def _from_planes(planes: list[memoryview]) -> np.ndarray:
     raw = np.empty((len(planes[0]), 4), np.uint8)
     for i, p in enumerate(planes):
         raw[:, i] = np.frombuffer(p, np.uint8)
     return raw.view("<u4").reshape(-1)
 
 
-def _code_streams(codes: np.ndarray) -> tuple[bytes, ...]:
-    """A byte for each code, 255 for those whose remainder follows in planes of their own."""
-    return np.minimum(codes, 255).astype(np.uint8).tobytes(), *_planes(codes[codes >= 255] - 255)
+def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Some codes at a time, so that what is made of them (index arrays of 8 bytes a code, masks) stays small."""
+    return (codes[i : i + 500_000] for i in range(0, len(codes), 500_000))
 
 
-def _from_code_streams(streams: list[bytes]) -> np.ndarray:
+def _code_streams(codes: np.ndarray, rank: np.ndarray) -> tuple[bytearray, ...]:
+    """A byte for each code's rank, 255 for those whose remainder follows in planes of their own."""
+    first, *rest = (bytearray() for _ in range(5))
+    for piece in _pieces(codes):
+        ranks = rank[piece]
+        first += np.minimum(ranks, 255).astype(np.uint8).tobytes()
+        for plane, own in zip(rest, _planes(ranks[ranks >= 255] - 255), strict=True):
+            plane += own
+    return first, *rest
+
+
+def _from_code_streams(streams: list[memoryview]) -> np.ndarray:
     codes = np.frombuffer(streams[0], np.uint8).astype(np.uint32)
     codes[codes == 255] += _from_planes(streams[1:])
     return codes
@@ -127,53 +139,58 @@ def _explode(pattern: str, parts: int, block_bytes: int):  # noqa: ANN202
         task = (TaskContext.get() and TaskContext.get().partitionId()) or 0
         serial, held = 0, 0
         words: dict[str, int] = {}
-        docs: list[tuple[int | None, np.ndarray]] = []
+        docs: list[tuple[int | None, int]] = []
+        codes = array("I")
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal serial, held, words, docs
+            nonlocal serial, held, words, docs, codes
             if not docs:
                 return
             block = (task << 32) | serial  # unique within the table that this run writes
-            codes = np.concatenate([c for _, c in docs])
             raw = [w.encode() for w in words]
+            words = {}  # its strings go before the rest is made
             # words are numbered by part, and in it by bytes; a code is a place in that order
             part = np.fromiter((_part(w, parts) for w in raw), np.int64, len(raw))
-            order = sorted(range(len(raw)), key=lambda i: (part[i], raw[i]))
+            order = np.fromiter(sorted(range(len(raw)), key=raw.__getitem__), np.int64, len(raw))
+            order = order[np.argsort(part[order], kind="stable")]
             place = np.empty(len(raw), np.uint32)
             place[order] = np.arange(len(raw), dtype=np.uint32)
-            counts = np.bincount(codes, minlength=len(raw))
+            own = np.frombuffer(codes, np.uint32)
+            counts = np.zeros(len(raw), np.int64)
+            for piece in _pieces(own):
+                counts += np.bincount(piece, minlength=len(raw))
             # frequent words get small codes, which pack well; those used once follow in the order of their places
             once = np.flatnonzero(counts == 1)
             often = np.flatnonzero(counts > 1)
             often = often[np.argsort(-counts[often], kind="stable")]
             rank = np.empty(len(raw), np.uint32)
             rank[np.concatenate([often, once[np.argsort(place[once])]])] = np.arange(len(raw), dtype=np.uint32)
-            lengths = np.fromiter((len(c) for _, c in docs), np.uint32, len(docs))
+            lengths = np.fromiter((n for _, n in docs), np.uint32, len(docs))
             ids = np.fromiter((0 if d is None else d for d, _ in docs), np.int64, len(docs))
             known = np.fromiter((d is not None for d, _ in docs), np.uint8, len(docs))
-            yield _batch([(block, CODES, -1, len(docs), _pack(ids.tobytes(), known.tobytes(), lengths.tobytes(), *_code_streams(rank[codes]), *_planes(place[often])))])
-            out, begin = [], 0
-            while begin < len(order):
-                p = part[order[begin]]
-                end = begin
-                while end < len(order) and part[order[end]] == p:
-                    end += 1
-                own = [raw[i] for i in order[begin:end]]
-                sizes = np.fromiter(map(len, own), np.uint32, len(own))
-                out.append((block, WORDS, int(p), len(own), _pack(b"".join(own), *_planes(sizes), level=9)))
-                begin = end
+            streams = _code_streams(own, rank)
+            n, docs, codes, own = len(docs), [], array("I"), None
+            yield _batch([(block, CODES, -1, n, _pack(ids.tobytes(), known.tobytes(), lengths.tobytes(), *streams, *_planes(place[often])))])
+            out, streams = [], None
+            begins = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist()
+            for begin, end in zip(begins, [*begins[1:], len(order)], strict=False):
+                those = [raw[i] for i in order[begin:end].tolist()]
+                sizes = np.fromiter(map(len, those), np.uint32, len(those))
+                out.append((block, WORDS, int(part[order[begin]]), len(those), _pack(b"".join(those), *_planes(sizes), level=9)))
             if out:
                 yield _batch(out)
-            serial, held, words, docs = serial + 1, 0, {}, []
+            serial, held = serial + 1, 0
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 found = find(text)
-                docs.append((doc.as_py(), np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found))))
+                codes.extend(words.setdefault(w, len(words)) for w in found)
+                docs.append((doc.as_py(), len(found)))
                 held += len(text) + 64
                 if held >= block_bytes:
                     yield from flush()
+                    release_memory()
         yield from flush()
 
     return run
@@ -191,6 +208,7 @@ def _encode_words(vocabulary: Vocabulary):  # noqa: ANN202
                 if part != at:
                     made, at = {}, part
                 text, *planes = _unpack(body)
+                text = bytes(text)
                 ends = np.cumsum(_from_planes(planes)).tolist()
                 out, begin = [], 0
                 for end in ends:

@@ -70,3 +70,31 @@ def test_encode_matches_a_merge_loop_of_its_own(spark, vocabulary):
     want = [(d or 0, [i for m in regex.findall(P.PATTERN, t or "") for i in merged(m.encode(), ranks)]) for d, t in texts]
     made = [(r.doc_id or 0, list(r.ids)) for r in bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), vocabulary).collect()]
     assert sorted(made) == sorted(want)
+
+
+def test_a_block_of_a_million_codes_takes_little_memory(vocabulary):
+    """An executor's two workers, each with a block of 32 MB, once took it over its memory. What Python and NumPy allocate is counted here."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    words = [f" {rnd.randrange(1 << 30):x}".translate(letters) for _ in range(100_000)]
+    texts = ["".join(rnd.choices(words, k=1000)) for _ in range(1000)]
+    batches = [pa.record_batch({"doc_id": pa.array(range(i, i + 100), pa.int64()), "text": texts[i : i + 100]}) for i in range(0, 1000, 100)]
+    tracemalloc.start()
+    try:
+        made = list(bpe._explode(vocabulary.pattern, 4, 1 << 40)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * sum(map(len, texts))  # 3.0 times; it was 5.8
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [r["kind"] for r in rows] == [bpe.CODES] + [bpe.WORDS] * 4
+    batch = lambda rows: pa.RecordBatch.from_pylist(rows, made[0].schema)
+    ids = [r for b in bpe._encode_words(vocabulary)(iter([batch(sorted(rows[1:], key=lambda r: r["part"]))])) for r in b.to_pylist()]
+    out = [r for b in bpe._assemble(bpe._ids_out)(iter([batch([rows[0], *ids])])) for r in b.to_pylist()]
+    encoding = vocabulary.tables[1]
+    assert [(r["doc_id"], r["ids"]) for r in out] == [(i, encoding.encode_ordinary(t)) for i, t in enumerate(texts)]
