@@ -305,7 +305,8 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = scratch.save(map_arrow(rows, _explode(vocabulary.pattern, parts, block_bytes), PACKED), "blocks")
+    # a block stays whole however its rows come, so that small batches cost nothing but hold less
+    packed = scratch.save(map_arrow(rows, _explode(vocabulary.pattern, parts, block_bytes), PACKED), "blocks", batch_bytes=4 << 20)
     words = packed.where(F.col("kind") == WORDS).repartition(parts, "part").sortWithinPartitions("part")
     ids = map_arrow(words, _encode_words(vocabulary), PACKED)
     # blocks are of like size and dealt evenly by their number

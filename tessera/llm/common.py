@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,14 +54,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *, batch_bytes: int | None = None) -> DataFrame:
+        """``batch_bytes``: of the Arrow batches that Python workers get meanwhile, unless the session sets them."""
         schema = df.schema
         before = self.spark.conf.get(CLEANUP, "false")
+        bound = batch_bytes is not None and self.spark.conf.get(BATCH_BYTES, None) is None
         self.spark.conf.set(CLEANUP, "true")  # the shuffles of this write are of no use after it
+        if bound:
+            self.spark.conf.set(BATCH_BYTES, str(batch_bytes))
         try:
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
             self.spark.conf.set(CLEANUP, before)
+            if bound:
+                self.spark.conf.unset(BATCH_BYTES)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:

@@ -98,3 +98,26 @@ def test_a_block_of_a_million_codes_takes_little_memory(vocabulary):
     out = [r for b in bpe._assemble(bpe._ids_out)(iter([batch([rows[0], *ids])])) for r in b.to_pylist()]
     encoding = vocabulary.tables[1]
     assert [(r["doc_id"], r["ids"]) for r in out] == [(i, encoding.encode_ordinary(t)) for i, t in enumerate(texts)]
+
+
+def test_texts_come_in_small_batches_and_the_session_keeps_its_own(spark, vocabulary, tmp_path, monkeypatch):
+    from tessera.llm.common import BATCH_BYTES
+
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                yield bpe._batch([(0, bpe.CODES, -1, b.num_rows, b"")])
+
+        return run
+
+    monkeypatch.setattr(bpe, "_explode", sizes)
+    monkeypatch.setattr(bpe, "map_arrow", lambda df, fn, schema: df.mapInArrow(fn, schema))
+    kept = []
+    save = bpe.Scratch.save
+    monkeypatch.setattr(bpe.Scratch, "save", lambda self, df, name, **o: kept.append(save(self, df, name, **o)) or kept[-1])
+    spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('0123456789', 1000) AS text").write.parquet(f"file://{tmp_path}/docs")
+    before = spark.conf.get(BATCH_BYTES, None)
+    bpe.encode(spark.read.parquet(f"file://{tmp_path}/docs"), vocabulary)
+    assert spark.conf.get(BATCH_BYTES, None) == before
+    rows = [r.n for r in kept[0].collect()]
+    assert sum(rows) == 3000 and max(rows) <= 600  # 30 MB, of which a batch has 4; all were one batch of 3000
